@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.llm import canonical, site_lines, splitting
+from coursemill.llm import canonical, leakage, site_lines, splitting
 from coursemill.session import read_table
 
 KEYS = {"page_documents": "page_id", "text_chunks": "id", "layout_elements": "id"}
@@ -61,8 +61,13 @@ def p5_pages(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(pages, _site_lines(spark, d).found())
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that carry evaluation items."""
+    return leakage.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_pieces, p5_found, p5_pages)
+    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_pieces, p5_found, p5_pages, p7_found)
 }
 ORACLE_SQL: dict[str, str] = {
     "p2_found": """
