@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.llm import canonical, leakage, site_lines, splitting
+from coursemill.llm import canonical, leakage, residue, site_lines, splitting
 from coursemill.session import read_table
 
 KEYS = {"page_documents": "page_id", "text_chunks": "id", "layout_elements": "id"}
@@ -66,8 +66,19 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents with residue of templates, filler, error messages or demands for scripts."""
+    return residue.find_residue(read_table(spark, d, "documents"))
+
+
+def p8_kept(spark: SparkSession, d: str) -> DataFrame:
+    """The documents that stay when those are excluded."""
+    documents = read_table(spark, d, "documents")
+    return residue.without_residue(documents, residue.find_residue(documents)).select("doc_id", "lang", "source", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_pieces, p5_found, p5_pages, p7_found)
+    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_pieces, p5_found, p5_pages, p7_found, p8_found, p8_kept)
 }
 ORACLE_SQL: dict[str, str] = {
     "p2_found": """
