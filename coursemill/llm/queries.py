@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.llm import canonical, leakage, residue, site_lines, splitting
+from coursemill.llm import answers, canonical, leakage, residue, site_lines, splitting
 from coursemill.session import read_table
 
 KEYS = {"page_documents": "page_id", "text_chunks": "id", "layout_elements": "id"}
@@ -42,6 +42,11 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(read_table(spark, d, "text_chunks"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Requests whose answer is no usable answer, with the defect."""
+    return answers.find_defects(read_table(spark, d, "mistake_requests").select("request_id", "question", "content", "answer"))
+
+
 def _site_lines(spark: SparkSession, d: str) -> site_lines.SiteLines:
     pages = read_table(spark, d, "page_documents").select("page_id", "source", "text", "ingested_at")
     index = site_lines.SiteLines(spark)
@@ -78,7 +83,7 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_pieces, p5_found, p5_pages, p7_found, p8_found, p8_kept)
+    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_pieces, p4_found, p5_found, p5_pages, p7_found, p8_found, p8_kept)
 }
 ORACLE_SQL: dict[str, str] = {
     "p2_found": """
