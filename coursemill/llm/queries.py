@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.llm import answers, canonical, leakage, residue, site_lines, splitting
+from coursemill.llm import answers, canonical, leakage, packing, residue, site_lines, splitting
 from coursemill.session import read_table
 
 KEYS = {"page_documents": "page_id", "text_chunks": "id", "layout_elements": "id"}
@@ -66,6 +66,16 @@ def p5_pages(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(pages, _site_lines(spark, d).found())
 
 
+def p6_packing(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its container, for every target."""
+    return packing.pack(read_table(spark, d, "documents").select("doc_id", "text"), read_table(spark, d, "pack_targets"))
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of every target are."""
+    return packing.fill_report(p6_packing(spark, d), read_table(spark, d, "pack_targets"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Documents that carry evaluation items."""
     return leakage.find_leaks(read_table(spark, d, "documents"), read_table(spark, d, "eval_items"))
@@ -83,7 +93,7 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_pieces, p4_found, p5_found, p5_pages, p7_found, p8_found, p8_kept)
+    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_pieces, p4_found, p5_found, p5_pages, p6_packing, p6_fill, p7_found, p8_found, p8_kept)
 }
 ORACLE_SQL: dict[str, str] = {
     "p2_found": """
