@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.llm import answers, canonical, leakage, packing, residue, site_lines, splitting
+from coursemill.llm import answers, canonical, leakage, packing, residue, scans, site_lines, splitting
 from coursemill.session import read_table
 
 KEYS = {"page_documents": "page_id", "text_chunks": "id", "layout_elements": "id"}
@@ -42,6 +42,20 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_items(read_table(spark, d, "text_chunks"))
 
 
+def _scan_rows(spark: SparkSession, d: str) -> DataFrame:
+    return scans.page_rows(*(read_table(spark, d, t) for t in ("page_documents", "layout_elements", "source_files")))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pages and layout elements with noise of scanning, and its kinds."""
+    return scans.find_noise(_scan_rows(spark, d))
+
+
+def p3_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Every page and layout element as continuous paragraphs without that noise."""
+    return scans.repair_texts(_scan_rows(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Requests whose answer is no usable answer, with the defect."""
     return answers.find_defects(read_table(spark, d, "mistake_requests").select("request_id", "question", "content", "answer"))
@@ -93,7 +107,7 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_pieces, p4_found, p5_found, p5_pages, p6_packing, p6_fill, p7_found, p8_found, p8_kept)
+    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_pieces, p3_found, p3_texts, p4_found, p5_found, p5_pages, p6_packing, p6_fill, p7_found, p8_found, p8_kept)
 }
 ORACLE_SQL: dict[str, str] = {
     "p2_found": """
