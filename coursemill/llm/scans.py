@@ -176,11 +176,10 @@ def joined_ideographs(p: Parsed) -> tuple[np.ndarray, np.ndarray]:
     follows = np.zeros(len(at), bool)
     if len(at) > 1:
         gap = at[1:] - at[:-1]
-        follows[1:] = gap == 1
-        broken = np.flatnonzero((gap > 1) & (gap <= 4))
-        for i in broken[p.points[at[broken] + 1] == 0x0A]:
-            between = p.points[at[i] + 1 : at[i + 1]]
-            follows[i + 1] = bool(np.isin(between, [0x0A, 0x20, 0x3000]).all())
+        empty = (p.points == 0x0A) | (p.points == 0x20) | (p.points == 0x3000)
+        blanks = np.concatenate(([0], np.cumsum(empty)))
+        between = blanks[at[1:]] - blanks[at[:-1] + 1]
+        follows[1:] = (gap == 1) | ((gap <= 4) & (between == gap - 1) & (p.points[np.minimum(at[:-1] + 1, len(p.points) - 1)] == 0x0A))
         row = np.searchsorted(p.offsets, at, "right")
         follows[1:] &= row[1:] == row[:-1]
     return at, follows
