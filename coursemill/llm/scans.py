@@ -440,7 +440,14 @@ class Editor:
         return out
 
 
-DIVIDED = re.compile(r"([A-Za-zÀ-ɏ0-9]+)([-‐‑¬–]) ?\n[ 　]*([A-Za-zÀ-ɏ]+)")
+DIVIDED = re.compile(r"(?<=[A-Za-zÀ-ɏ0-9])([-‐‑¬–]) ?\n[ 　]*([A-Za-zÀ-ɏ]+)")
+LAST_WORD = re.compile(r"[A-Za-zÀ-ɏ0-9]+\Z")
+
+
+def divided_words(text: str) -> Iterator[tuple[str, re.Match]]:
+    """The first part of each word that is followed by a mark and a line end, and the match of mark and second part."""
+    for m in DIVIDED.finditer(text):
+        yield LAST_WORD.search(text, max(0, m.start() - 60), m.start())[0], m
 
 
 def _noisy_word(word: str, rng: random.Random) -> tuple[str, str, str] | None:
@@ -588,8 +595,8 @@ def _row_noise(editor: Editor, text: str, title: str, chapters: list[str], print
                     kinds.add("misread")  # a letter stands for a figure
     divided = []
     if len(lines) > 1:
-        for m in DIVIDED.finditer(text):
-            if editor.joins(m[1].lower(), m[3].lower(), m[2]):
+        for left, m in divided_words(text):
+            if editor.joins(left.lower(), m[2].lower(), m[1]):
                 divided.append(m)
     if divided:
         kinds.add("hyphen")
@@ -652,9 +659,9 @@ def repair(editor: Editor, p: Parsed, row: int, text: str, words: dict[int, str]
             chars[a + 1 : b] = [""] * (b - a - 1)
     _, furniture, divided = _row_noise(editor, text, title, chapters, printed)
     for m in divided:
-        chars[m.start(2) : m.start(3)] = [""] * (m.start(3) - m.start(2))
+        chars[m.start(1) : m.start(2)] = [""] * (m.start(2) - m.start(1))
     out, at = [], 0
-    joined = {text.count("\n", 0, m.start(2)) for m in divided}
+    joined = {text.count("\n", 0, m.start(1)) for m in divided}
     for i, line in enumerate(text.split("\n")):
         part = "".join(chars[at : at + len(line)]).strip(" 　")
         indented = line[:1] in ("　", "\t") or line.startswith("  ")
