@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Words of letters and figures, and single ideographs.
 TOKEN = r"[a-z0-9_]+|[一-鿿]"
@@ -32,7 +33,7 @@ def search_text(*parts: Column | str) -> Column:
     return F.concat_ws(" ", *[_c(p) for p in parts])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(values: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Compatibility composition, which Spark has no built-in for."""
     for batch in values:

@@ -8,6 +8,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from coursemill.functions import text as T
 from coursemill.operators.joins import guarded_join
@@ -29,14 +30,14 @@ def similarity(left: str | None, right: str | None) -> float:
     return min(score, 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity_udf(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """similarity of two columns."""
     for left, right in pairs:
         yield pd.Series([similarity(a, b) for a, b in zip(left, right)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ratio_udf(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """ratio of two columns."""
     for left, right in pairs:

@@ -23,8 +23,9 @@ def distribute(rows: DataFrame, total: str, by: str, order: str) -> DataFrame:
     w = Window.partitionBy(by)
     n = F.count("*").over(w)
     place = F.row_number().over(w.orderBy(order))
-    part = F.round(F.col(total) / n, 2)
-    return rows.withColumn("share", F.when(place < n, part).otherwise(F.round(F.col(total) - part * (n - 1), 2)))
+    whole = F.floor(F.col(total) * 100 + 0.5)
+    part = F.floor(whole / n + 0.5)
+    return rows.withColumn("share", F.when(place < n, part).otherwise(whole - part * (n - 1)) / 100)
 
 
 def missing(expected: DataFrame, given: DataFrame, keys: list[str]) -> DataFrame:

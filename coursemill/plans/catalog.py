@@ -1,4 +1,6 @@
-"""Queries of the core operators by name, with the SQL of those that SQL can express."""
+"""All queries of the core operators by name, with the SQL of those that SQL can express."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from coursemill.plans import content, graphs, learners, ranking
+from coursemill.plans.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "content", "graphs", "learners", "ranking"]

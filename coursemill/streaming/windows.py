@@ -16,7 +16,8 @@ def tumbling(events: DataFrame, ts: str, width: str, by: list[str], late: str |
 def sessions(events: DataFrame, user: str, ts: str, gap_seconds: int) -> DataFrame:
     """(user, session, started, ended, n): runs of events with no gap over gap_seconds, from 1."""
     w = Window.partitionBy(user).orderBy(ts, "event_id")
-    new = F.coalesce((F.unix_micros(ts) - F.lag(F.unix_micros(ts)).over(w)) > gap_seconds * 1_000_000, F.lit(True))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    new = F.coalesce((at - F.lag(at).over(w)) > gap_seconds * 1_000_000, F.lit(True))
     marked = events.withColumn("_new", new.cast("long")).withColumn("session", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy(user, "session").agg(F.min(ts).alias("started"), F.max(ts).alias("ended"), F.count("*").alias("n"))
 
