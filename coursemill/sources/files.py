@@ -35,7 +35,7 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     marked = lines.withColumn("level", level).withColumn("title", title).withColumn("block", F.sum((F.col("level") > 0).cast("int")).over(w))
     marked = marked.withColumn("chapter", F.last(F.when(F.col("level") == 1, F.col("title")), True).over(w)).withColumn("section", F.last(F.when(F.col("level") > 0, F.col("title")), True).over(w))
     body = marked.where("level = 0").groupBy("source", "block", "chapter", "section").agg(F.array_sort(F.collect_list(F.struct("at", "line"))).alias("l"))
-    out = body.withColumn("text", F.trim(F.array_join(F.transform("l", lambda x: x["line"]), "\n"))).where("text <> ''")
+    out = body.withColumn("text", F.regexp_replace(F.array_join(F.transform("l", lambda x: x["line"]), "\n"), r"^\s+|\s+$", "")).where("text <> ''")
     return out.select("source", F.col("block").cast("int").alias("block"), "chapter", "section", "text")
 
 
