@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from coursemill.functions import codepoints as cp
 
@@ -205,7 +206,7 @@ def canonical_texts(df: DataFrame, text: str = "text", out: str = "canonical") -
     """
     kept = [c for c in df.columns if c != out]
     source = df.select(*kept)
-    schema = source.withColumn(out, F.lit("")).schema
+    schema = StructType([*source.schema.fields, StructField(out, StringType())])
     at = source.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -141,7 +141,7 @@ def parse(points: np.ndarray, offsets: np.ndarray) -> Parsed:
     edge[1:-1] = alnum[1:].astype(np.int8) - alnum[:-1]
     if len(points):
         edge[0], edge[-1] = alnum[0], -int(alnum[-1])
-    cut = offsets[1:-1]
+    cut = np.unique(offsets[1:-1])
     cut = cut[(cut > 0) & (cut < len(points))]
     both = cut[alnum[cut] & alnum[cut - 1]] if len(cut) else cut
     starts = np.sort(np.concatenate((np.flatnonzero(edge == 1), both)))
