@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from coursemill.functions import codepoints as cp
+from coursemill.session import materialize
 
 #: Letters of other scripts that look like Latin ones.
 LOOKALIKES = {
@@ -248,7 +249,7 @@ def lookalike_pairs(df: DataFrame, key: str, text: str = "text", salts: int = 16
     between the members of different texts only, with the members of a hot form spread over
     salts.  Null keys and texts give no rows; empty texts are ordinary texts.
     """
-    rows = canonical_digests(df, key, text).distinct()
+    rows = materialize(canonical_digests(df, key, text).distinct(), "digests")  # read four times below
     mixed = rows.groupBy("form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("form")
     members = rows.join(mixed, "form", "left_semi")
     left = members.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(salts)).cast("int"))
