@@ -88,9 +88,10 @@ def split_tags(text: Column | str) -> Column:
 
 def contained(names: list[str], text: Column | str, limit: int = 12) -> Column:
     """The names that stand in text, in the order of the list, at most limit."""
-    hay = F.lower(F.coalesce(_c(text), F.lit("")))
-    listed = F.array(*[F.lit(n) for n in names]) if names else F.array().cast("array<string>")
-    return F.slice(F.filter(listed, lambda n: F.contains(hay, F.lower(n))), 1, limit)
+    hay = F.lower(F.coalesce(_c(text), F.lit("")))  # one subexpression, evaluated once a row
+    if not names:
+        return F.array().cast("array<string>")
+    return F.slice(F.array_compact(F.array(*[F.when(F.contains(hay, F.lit(n.lower())), F.lit(n)) for n in names])), 1, limit)
 
 
 def overlap(query: Column | str, other: Column | str) -> Column:

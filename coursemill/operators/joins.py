@@ -15,12 +15,14 @@ SALTS = 16
 def guarded_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """left joined with right, which is broadcast if it has at most limit rows and else shuffled with salts.
 
-    The right side is counted up to limit + 1 rows only.  With salts, each right row is repeated
+    The right side is read up to limit + 1 rows; within the limit these rows are what is broadcast,
+    so it is computed once.  With salts, each right row is repeated
     once per salt and the left rows of one key are spread over the salts, so no key is met by a
     single task.  how is inner, left, left_semi or left_anti.  Null keys match nothing.
     """
-    if right.limit(limit + 1).count() <= limit:
-        return left.join(F.broadcast(right), on, how)
+    rows = right.limit(limit + 1).toArrow()
+    if rows.num_rows <= limit:
+        return left.join(F.broadcast(right.sparkSession.createDataFrame(rows, right.schema)), on, how)
     return salted_join(left, right, on, how, salts)
 
 

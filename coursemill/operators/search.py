@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from coursemill.functions import text as T
 from coursemill.operators.joins import guarded_join
+from coursemill.session import materialize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
+ALL = "\x00all"
 #: The weights of the signals of a hybrid search without and with query images.
 WEIGHTS = {"vector": 0.34, "bm25": 0.24, "token_overlap": 0.08, "tag_overlap": 0.08, "graph": 0.10, "cross": 0.10, "image": 0.06}
 IMAGE_WEIGHTS = {"vector": 0.24, "bm25": 0.16, "token_overlap": 0.06, "tag_overlap": 0.06, "graph": 0.08, "cross": 0.10, "image": 0.30}
@@ -32,8 +34,11 @@ def bm25_scores(corpus: DataFrame, queries: DataFrame, key: str, query_key: str,
     documents.
     """
     words = corpus.select(F.col(key), T.tokens(text).alias("words"))
-    facts = words.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("avgdl"))
-    frequency = words.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # one pass over the corpus: the frequencies, and under a term that no text has, the number and length of all texts
+    distinct = F.array_append(F.array_distinct("words"), F.lit(ALL))
+    counted = materialize(words.select(F.explode(distinct).alias("term"), F.size("words").alias("dl")).groupBy("term").agg(F.count("*").alias("df"), F.sum("dl").alias("length")), "frequencies")
+    facts = counted.where(F.col("term") == ALL).select(F.col("df").alias("n"), (F.col("length") / F.col("df")).alias("avgdl"))
+    frequency = counted.where(F.col("term") != ALL).select("term", "df")
     idf = frequency.crossJoin(F.broadcast(facts)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("raw").alias("mean"))
     idf = idf.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
