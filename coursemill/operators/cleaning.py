@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from coursemill.functions import text as T
 from coursemill.operators.joins import guarded_join
 
+#: Rows of so many consecutive numbers are one task of a running value.
+BLOCK = 1_000
 EDGE_LINES, EDGE_LENGTH, EDGE_LEAST, EDGE_PART = 2, 80, 3, 0.08
 PARAGRAPH = 260
 
@@ -49,24 +51,37 @@ def keep_decisions(pages: DataFrame, opens: Column, closes: Column) -> DataFrame
     The last opening or closing page at or before a page decides; before any the page is kept.
     """
     mark = F.when(closes, F.lit(1)).when(opens, F.lit(0))
-    w = Window.partitionBy("source").orderBy("page", "page_id").rowsBetween(Window.unboundedPreceding, 0)
-    return pages.withColumn("keep", F.coalesce(F.last(mark, ignorenulls=True).over(w), F.lit(1)) == 1)
+    out = carry_forward(rows=pages.withColumn("_mark", mark), group="source", order=["page", "page_id"], value="_mark", name="_last")
+    return out.withColumn("keep", F.coalesce("_last", F.lit(1)) == 1).drop("_mark", "_last")
 
 
-def carry_forward(rows: DataFrame, group: str, order: list[str], value: Column, name: str) -> DataFrame:
-    """rows with name: the last non-null value at or before each row of its group."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(name, F.last(value, ignorenulls=True).over(w))
+def carry_forward(rows: DataFrame, group: str, order: list[str], value: str, name: str, block: int = BLOCK) -> DataFrame:
+    """rows with name: the last non-null value at or before each row of its group; order begins with a number.
+
+    Two levels, so that a group with a third of all rows is no single task: rows are cut into blocks
+    of the first order column, a window runs inside each block, and the last value of each block is
+    carried over the few blocks.
+    """
+    cut = rows.withColumn("_block", F.coalesce(F.floor(F.col(order[0]) / block), F.lit(-(1 << 60))))
+    inside = Window.partitionBy(group, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    place = F.struct(*[F.col(c) for c in order])
+    blocks = cut.groupBy(group, "_block").agg(F.max_by(value, F.when(F.col(value).isNotNull(), place)).alias("_end"))
+    before = F.last("_end", ignorenulls=True).over(Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1))
+    carried = blocks.select(F.col(group).alias("_g"), F.col("_block").alias("_b"), before.alias("_before"))
+    own = cut.withColumn("_own", F.last(value, ignorenulls=True).over(inside))
+    joined = own.join(carried, own[group].eqNullSafe(F.col("_g")) & (F.col("_block") == F.col("_b")), "left")
+    return joined.withColumn(name, F.coalesce("_own", "_before")).drop("_block", "_g", "_b", "_own", "_before")
 
 
 def as_of(rows: DataFrame, marks: DataFrame, group: str, at: str, values: list[str]) -> DataFrame:
-    """rows with the values of the last mark whose at is not after theirs; a union and a running window, no range join."""
-    empty = [F.lit(None).cast(marks.schema[v].dataType).alias(v) for v in values]
-    tagged = marks.select(group, at, *values, F.lit(0).alias("_row")).unionByName(rows.select(group, at, *empty, F.lit(1).alias("_row"), *[c for c in rows.columns if c not in (group, at)]), allowMissingColumns=True)
-    w = Window.partitionBy(group).orderBy(at, "_row").rowsBetween(Window.unboundedPreceding, 0)
-    for v in values:
-        tagged = tagged.withColumn(v, F.last(F.when(F.col("_row") == 0, F.struct(v)), ignorenulls=True).over(w)[v])
-    return tagged.where("_row = 1").drop("_row")
+    """rows with the values of the last mark whose at is not after theirs: a union carried forward, no range join.
+
+    Of several marks at one place the last by its values counts.
+    """
+    marked = marks.groupBy(group, at).agg(F.max(F.struct(*values)).alias("_mark")).withColumn("_row", F.lit(0))
+    tagged = marked.unionByName(rows.drop(*values).withColumn("_row", F.lit(1)), allowMissingColumns=True)
+    out = carry_forward(tagged, group, [at, "_row"], "_mark", "_last").where("_row = 1")
+    return out.select("*", *[F.col("_last")[v].alias(v) for v in values]).drop("_row", "_mark", "_last")
 
 
 _HEADING = re.compile(r"^(第.{1,4}[章节]|Chapter \d+|\d+(\.\d+)+ )")

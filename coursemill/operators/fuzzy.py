@@ -12,6 +12,7 @@ from pyspark.sql.types import DoubleType
 
 from coursemill.functions import text as T
 from coursemill.operators.joins import guarded_join
+from coursemill.session import materialize
 
 MATCH, CONFIRM, DUPLICATE = 0.72, 0.86, 0.985
 
@@ -70,24 +71,56 @@ def match_names(points: DataFrame, names: DataFrame, least: float = MATCH) -> Da
     return found.unionByName(custom).withColumn("confirm", (F.col("match") == "approximate") & (F.col("confidence") < CONFIRM))
 
 
-def near_duplicates(rows: DataFrame, key: str, text: str, least: float = DUPLICATE, block: int = 3) -> DataFrame:
-    """(key, class_id): rows whose texts are alike in at least least of their characters, with the smallest key of their direct matches.
+GRAM = 5
 
-    With d = 1 - least, two texts of length n differ in few characters, so cut into pieces they
-    agree in one: candidates share length class and one of block pieces of the comparison text.
-    Exact copies are merged first and never paired.
+
+def near_duplicates(rows: DataFrame, key: str, text: str, least: float = DUPLICATE) -> DataFrame:
+    """(key, class_id, links): the class of every row, named by its smallest key, and its number of alike other texts.
+
+    Texts are compared by letters, figures and ideographs; two are alike if twice their matching
+    characters are at least least of both lengths; a class is what alike texts link, directly or
+    over others.  Exact copies are one text from the start.  Candidates come from a prefix filter: with at
+    most (1 - least) * (length + length) characters of difference, each undoing GRAM runs of
+    characters, two alike texts share one of their rarest runs, so no pair is lost and frequent
+    runs make no pairs.  Null and empty texts are left out.
     """
     texts = rows.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), T.comparison_text(text).alias("t")).where("t <> ''")
-    classes = texts.groupBy("t").agg(F.min("k").alias("k"), F.count("*").alias("copies"))
-    pieces = F.array(*[F.substring(F.col("t"), (F.length("t") * i / block + 1).cast("int"), F.greatest(F.floor(F.length("t") / block).cast("int"), F.lit(1))) for i in range(block)])
-    keyed = classes.select("k", "t", F.posexplode(pieces).alias("at", "piece")).select("k", "t", "at", F.xxhash64("piece").alias("piece"))
-    left = keyed.select("at", "piece", F.col("k").alias("a"), F.col("t").alias("ta"))
-    right = keyed.select("at", "piece", F.col("k").alias("b"), F.col("t").alias("tb"))
-    pairs = left.join(right, ["at", "piece"]).where((F.col("a") < F.col("b")) & (F.abs(F.length("ta") - F.length("tb")) <= (1 - least) * 2 * F.length("ta") + 1)).dropDuplicates(["a", "b"])
-    alike = pairs.withColumn("r", ratio_udf("ta", "tb")).where(F.col("r") >= least)
-    link = alike.groupBy(F.col("b").alias("k")).agg(F.min("a").alias("first"))
-    named = classes.join(link, "k", "left").select("t", F.coalesce("first", "k").alias("class_id"))
-    return texts.join(named, "t").select(F.col("k").alias(key), "class_id")
+    classes = materialize(texts.groupBy("t").agg(F.min("k").alias("k")), "texts")
+    places = F.sequence(F.lit(1), F.greatest(F.length("t") - GRAM + 1, F.lit(1)))
+    grams = classes.select("k", F.explode(F.array_distinct(F.transform(places, lambda i: F.xxhash64(F.substring(F.col("t"), i, F.lit(GRAM)))))).alias("gram"))
+    common = grams.groupBy("gram").agg(F.count("*").alias("n"))
+    ranked = grams.join(common, "gram")
+    w = Window.partitionBy("k")
+    size, place = F.count("*").over(w), F.row_number().over(w.orderBy("n", "gram"))
+    loss = F.ceil((1 - least) * 2 * (F.col("size") + GRAM) / least) * GRAM  # runs that so many differing characters can undo
+    prefix = ranked.withColumn("size", size).withColumn("place", place).where((F.col("place") <= loss + 1) & (F.col("n") > 1)).select("k", "gram")
+    texts_of = classes.select("k", "t")
+    pairs = prefix.select("gram", F.col("k").alias("a")).join(prefix.select("gram", F.col("k").alias("b")), "gram").where("a < b").select("a", "b").distinct()
+    pairs = pairs.join(texts_of.select(F.col("k").alias("a"), F.col("t").alias("ta")), "a").join(texts_of.select(F.col("k").alias("b"), F.col("t").alias("tb")), "b")
+    near = pairs.where(2 * F.least(F.length("ta"), F.length("tb")) / (F.length("ta") + F.length("tb")) >= least)
+    links = materialize(near.where(ratio_udf("ta", "tb") >= least).select("a", "b"), "links")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    counted = both.groupBy(F.col("a").alias("k")).agg(F.count("*").alias("links"))
+    named = classes.join(components(both), "k", "left").join(counted, "k", "left").select("t", F.coalesce("component", "k").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+    return texts.join(named, "t").select(F.col("k").alias(key), "class_id", "links").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(k, component): the smallest key that each end of edges (a, b, given in both directions) is linked to.
+
+    Every round takes the smallest label of the neighbours and of the label itself, until nothing
+    changes; labels are tables, nothing but the number of changes reaches the driver.
+    """
+    labels = materialize(edges.groupBy(F.col("a").alias("k")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
+    while True:
+        around = edges.join(labels.withColumnRenamed("k", "b"), "b").groupBy(F.col("a").alias("k")).agg(F.min("component").alias("near"))
+        jump = labels.select(F.col("k").alias("component"), F.col("component").alias("far"))
+        new = labels.join(around, "k").join(jump, "component", "left").select("k", F.least("component", "near", "far").alias("next"), "component")
+        new = materialize(new, "labels")
+        changed = new.where("next <> component").limit(1).count()
+        labels = new.select("k", F.col("next").alias("component"))
+        if not changed:
+            return labels
 
 
 def merge_parts(parts: list[str]) -> str:

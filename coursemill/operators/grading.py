@@ -56,8 +56,13 @@ def masked(rows: DataFrame, hidden: list[str], teacher: bool) -> DataFrame:
 
 
 def leaked_later(rows: DataFrame, group: str, order: str, answer: str, question: str, least: int = 50) -> DataFrame:
-    """(group, order, later): answers that hold the whole question of a later row of the group, of at least least characters."""
-    left = rows.select(group, F.col(order).alias("_a"), F.col(answer).alias("_answer"))
-    right = rows.where(F.length(question) >= least).select(group, F.col(order).alias("_b"), F.col(question).alias("_question"))
-    hits = left.join(right, group).where((F.col("_a") < F.col("_b")) & F.contains(F.col("_answer"), F.col("_question")))
-    return hits.select(group, F.col("_a").alias(order), F.col("_b").alias("later"))
+    """(group, order, later): answers that hold the whole question of a later row of the group, of at least least characters.
+
+    The join is on the first characters of the question and every place of the answer, so a large
+    group is not paired with itself.
+    """
+    windows = F.transform(F.sequence(F.lit(1), F.length(answer) - least + 1), lambda i: F.xxhash64(F.substring(F.col(answer), i, F.lit(least))))
+    left = rows.where(F.length(answer) >= least).select(group, F.col(order).alias("_a"), F.col(answer).alias("_answer"), F.explode(F.array_distinct(windows)).alias("_key"))
+    right = rows.where(F.length(question) >= least).select(group, F.col(order).alias("_b"), F.col(question).alias("_question"), F.xxhash64(F.substring(question, 1, least)).alias("_key"))
+    hits = left.join(right, [group, "_key"]).where((F.col("_a") < F.col("_b")) & F.contains(F.col("_answer"), F.col("_question")))
+    return hits.select(group, F.col("_a").alias(order), F.col("_b").alias("later")).distinct()

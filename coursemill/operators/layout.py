@@ -10,6 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IOU, OWNED = 0.75, 0.72
+#: Height of the bands in which boxes of a page meet.
+BAND = 100.0
+
+
+def bands(top: Column, bottom: Column) -> Column:
+    """The bands of a page that a box reaches."""
+    return F.sequence(F.floor(top / BAND), F.floor(bottom / BAND))
 
 
 def valid_box(box: str) -> Column:
@@ -78,11 +85,11 @@ def suppress(rows: DataFrame, group: list[str], least: float = IOU) -> DataFrame
 def nearest(left: DataFrame, right: DataFrame, page: list[str], k: int = 3, gap: float = 72.0, column: float = 48.0) -> DataFrame:
     """(id, other, distance, rank): the k boxes of right nearest above or below each box of left in its column of the page.
 
-    Both have id, bbox and the page columns; an equality join on the page, then four inequalities.
+    Both have id, bbox and the page columns; an equality join on page and band, then four inequalities.
     """
-    a = left.where(valid_box("bbox")).select(*page, F.col("id"), F.col("bbox").alias("a"))
-    b = right.where(valid_box("bbox")).select(*page, F.col("id").alias("other"), F.col("bbox").alias("b"))
-    pairs = a.join(b, page).where(F.col("id") != F.col("other"))
+    a = left.where(valid_box("bbox")).select(*page, F.col("id"), F.col("bbox").alias("a"), F.explode(bands(F.col("bbox")[1] - gap, F.col("bbox")[3] + gap)).alias("band"))
+    b = right.where(valid_box("bbox")).select(*page, F.col("id").alias("other"), F.col("bbox").alias("b"), F.explode(bands(F.col("bbox")[1], F.col("bbox")[3])).alias("band"))
+    pairs = a.join(b, [*page, "band"]).where(F.col("id") != F.col("other")).drop("band").dropDuplicates([*page, "id", "other"])
     vertical = F.greatest(F.lit(0.0), F.col("b")[1] - F.col("a")[3], F.col("a")[1] - F.col("b")[3])
     pairs = pairs.withColumn("distance", vertical).where((F.col("distance") <= gap) & (F.col("b")[0] <= F.col("a")[2] + column) & (F.col("b")[2] >= F.col("a")[0] - column))
     rank = F.row_number().over(Window.partitionBy("id").orderBy("distance", "other"))
@@ -91,9 +98,9 @@ def nearest(left: DataFrame, right: DataFrame, page: list[str], k: int = 3, gap:
 
 def overlapping(left: DataFrame, right: DataFrame, page: list[str], least: float = 0.0) -> DataFrame:
     """(id, other, part): boxes of right that cover more than least of a box of left on its page."""
-    a = left.where(valid_box("bbox")).select(*page, F.col("id"), F.col("bbox").alias("a"))
-    b = right.where(valid_box("bbox")).select(*page, F.col("id").alias("other"), F.col("bbox").alias("b"))
-    out = a.join(b, page).where(F.col("id") != F.col("other")).withColumn("part", F.round(overlap(F.col("a"), F.col("b")), 4))
+    a = left.where(valid_box("bbox")).select(*page, F.col("id"), F.col("bbox").alias("a"), F.explode(bands(F.col("bbox")[1], F.col("bbox")[3])).alias("band"))
+    b = right.where(valid_box("bbox")).select(*page, F.col("id").alias("other"), F.col("bbox").alias("b"), F.explode(bands(F.col("bbox")[1], F.col("bbox")[3])).alias("band"))
+    out = a.join(b, [*page, "band"]).where(F.col("id") != F.col("other")).drop("band").dropDuplicates([*page, "id", "other"]).withColumn("part", F.round(overlap(F.col("a"), F.col("b")), 4))
     return out.where(F.col("part") > least).select("id", "other", "part")
 
 

@@ -68,7 +68,7 @@ def page_keep(spark: SparkSession, d: str) -> DataFrame:
 def heading_carry(spark: SparkSession, d: str) -> DataFrame:
     """The section of each page, carried forward from the last page that names one."""
     own = F.when(F.trim(F.coalesce("section", F.lit(""))) != "", F.trim("section"))
-    return cleaning.carry_forward(t.pages(spark, d).withColumn("_own", own), "source", ["page", "page_id"], F.col("_own"), "section").select("page_id", "section")
+    return cleaning.carry_forward(t.pages(spark, d).withColumn("_own", own).drop("section"), "source", ["page", "page_id"], "_own", "section").select("page_id", "section")
 
 
 @query(

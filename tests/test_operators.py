@@ -116,7 +116,46 @@ def test_match_names(spark):
 def test_near_duplicates_group_copies(spark):
     base = "how does the operating point move when the supply drops by half and the load stays the same " * 2
     rows = spark.createDataFrame([(1, base), (2, base.upper()), (3, base + "x"), (4, "something else entirely"), (5, None), (6, "")], "id long, t string")
-    assert values(fuzzy.near_duplicates(rows, "id", "t")) == [(1, 1), (2, 1), (3, 1), (4, 4)]
+    assert values(fuzzy.near_duplicates(rows, "id", "t")) == [(1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 4, 0)]
+    assert fuzzy.near_duplicates(rows.limit(0), "id", "t").count() == 0
+
+
+def test_near_duplicates_lose_no_link(spark):
+    import random
+
+    rng = random.Random(1)
+    texts = []
+    for _ in range(12):
+        base = "".join(rng.choice("abcdefghij") for _ in range(rng.randint(60, 300)))
+        texts.append(base)
+        for _ in range(4):
+            c = list(texts[-1])
+            for _ in range(rng.randint(1, 3)):
+                i = rng.randrange(len(c))
+                c[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
+            texts.append("".join(c))
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    parent = list(range(len(texts)))
+    links = [0] * len(texts)
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] != texts[j] and fuzzy.ratio(texts[j], texts[i]) >= fuzzy.DUPLICATE or texts[i] == texts[j]:
+                a, b = sorted((parent[i], parent[j]))
+                parent = [a if p == b else p for p in parent]
+                links[i] += texts[i] != texts[j]
+                links[j] += texts[i] != texts[j]
+    got = {r.id: (r.class_id, r.links) for r in fuzzy.near_duplicates(df, "id", "t").collect()}
+    first = {t: min(i for i, u in enumerate(texts) if u == t) for t in texts}
+    assert {i: c for i, (c, _) in got.items()} == dict(enumerate(parent))
+    assert all(n == len({texts[j] for j in range(len(texts)) if texts[j] != texts[i] and fuzzy.ratio(*(texts[k] for k in sorted((first[texts[i]], first[texts[j]])))) >= fuzzy.DUPLICATE}) for i, (_, n) in got.items())
+
+
+def test_carry_forward_over_blocks(spark):
+    rows = [("s", i, "v%d" % i if i in (2, 5, 13) else None) for i in range(20)] + [(None, 3, "n"), (None, 9, None), ("s", None, None)]
+    df = spark.createDataFrame(rows, "g string, at int, v string")
+    got = {(r.g, r["at"]): r.last for r in cleaning.carry_forward(df, "g", ["at"], "v", "last", block=4).collect()}
+    assert [got["s", i] for i in (0, 2, 4, 12, 13, 19)] == [None, "v2", "v2", "v5", "v13", "v13"]
+    assert got[None, 9] == "n" and got["s", None] is None
 
 
 def test_merge_parts():
