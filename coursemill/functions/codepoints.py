@@ -110,8 +110,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def row_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """Parts of a record batch with a bounded amount of text each; one longer row is a part of its own."""
+def row_slices(batch: pa.RecordBatch, column: str, most_bytes: int = 512 << 10) -> Iterator[pa.RecordBatch]:
+    """Parts of a record batch with a bounded amount of text each, small enough for the arrays to stay in cache; one longer row is a part of its own."""
     size = batch.num_rows
     if size == 0:
         return
