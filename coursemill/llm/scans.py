@@ -55,6 +55,8 @@ _N = r"[0-9lIi|OoSsBZzqgQDb]{1,6}"
 PAGE_NUMBER = re.compile(
     rf"^[^\w|]*(?P<before>(?:pages?|pag|pp?|seite|s|第|no|nr)(?![a-z])[^\w|]*)?(?P<n>{_N})(?![A-Za-z])[^\w|]*(?P<after>(?:页|頁)?[^\w|]*(?:(?:of|von|/|共|总|out of)?[^\w|]*(?:共)?[^\w|]*{_N}[^\w|]*(?:页|頁|pages?)?)?[^\w|]*)?$", re.I
 )
+NUMBER_SIGN = re.compile(r"[0-9lIOoS|]")
+FIRST_SIGN = re.compile(r"[^\W\d_]")
 SECTION_HEADING = re.compile(r"^\d+(?:\.\d+)+\s")
 SQUEEZE = re.compile(r"[^\w]|_")
 LATIN_LOW, LATIN_HIGH = 0xC0, 0x250
@@ -341,6 +343,12 @@ def _title_likeness(line: str, title: str) -> tuple[float, bool, bool]:
     return (*max(plain, other), other > plain)
 
 
+@lru_cache(10_000)
+def _first_sign(name: str) -> str:
+    head = FIRST_SIGN.search(name)
+    return head[0].lower() if head else ""
+
+
 def line_features(line: str, at: int, of: int, title: str, chapters: list[str], printed: int | None) -> list[str] | None:
     """Features of a line as furniture, or None where it cannot be any. at: its place among of lines with content."""
     text = line.strip()
@@ -348,7 +356,7 @@ def line_features(line: str, at: int, of: int, title: str, chapters: list[str],
         return None
     edge = min(at, of - 1 - at)
     place = "edge0" if edge == 0 else "edge1" if edge == 1 else "edge2" if edge == 2 else "inner"
-    number = PAGE_NUMBER.match(text) if len(text) <= 30 and any(c.isdigit() or c in "lIOoS|" for c in text) else None
+    number = PAGE_NUMBER.match(text) if len(text) <= 30 and NUMBER_SIGN.search(text) else None
     if number:
         value = printed_value(number["n"])
         equal = "unknown" if printed is None else "yes" if value == printed else "no"
@@ -360,8 +368,11 @@ def line_features(line: str, at: int, of: int, title: str, chapters: list[str],
         ]
     best: tuple[float, bool, bool] = (0.0, False, False)
     if len(text) >= 4:
+        head = FIRST_SIGN.search(text)
         for name in (title, *chapters):
             if name and 0.3 * len(name) <= len(text) <= 3 * len(name) + 8:
+                if place == "inner" and not (head and head[0].lower() == _first_sign(name)):
+                    continue  # away from the edges a title is taken for one only from its first sign on
                 best = max(best, _title_likeness(text, name))
     like, start, numbered = best
     sentence = text.endswith(("。", ".", "！", "?", ","))
