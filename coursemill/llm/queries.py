@@ -61,6 +61,11 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return answers.find_defects(read_table(spark, d, "mistake_requests").select("request_id", "question", "content", "answer"))
 
 
+def p4_labels(spark: SparkSession, d: str) -> DataFrame:
+    """All labels of the requests whose posteriors pass the cutoffs."""
+    return answers.label_defects(read_table(spark, d, "mistake_requests").select("request_id", "question", "content", "answer"))
+
+
 def _site_lines(spark: SparkSession, d: str) -> site_lines.SiteLines:
     pages = read_table(spark, d, "page_documents").select("page_id", "source", "text", "ingested_at")
     index = site_lines.SiteLines(spark)
@@ -107,7 +112,7 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_pieces, p3_found, p3_texts, p4_found, p5_found, p5_pages, p6_packing, p6_fill, p7_found, p8_found, p8_kept)
+    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_pieces, p3_found, p3_texts, p4_found, p4_labels, p5_found, p5_pages, p6_packing, p6_fill, p7_found, p8_found, p8_kept)
 }
 ORACLE_SQL: dict[str, str] = {
     "p2_found": """
