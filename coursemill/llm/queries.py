@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coursemill.llm import answers, canonical, leakage, packing, residue, scans, site_lines, splitting
+from coursemill.llm import answers, canonical, leakage, packing, residue, scans, site_lines, splitting, sql
 from coursemill.session import read_table
 
 KEYS = {"page_documents": "page_id", "text_chunks": "id", "layout_elements": "id"}
@@ -115,6 +115,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_pieces, p3_found, p3_texts, p4_found, p4_labels, p5_found, p5_pages, p6_packing, p6_fill, p7_found, p8_found, p8_kept)
 }
 ORACLE_SQL: dict[str, str] = {
+    "p1_found": sql.p1_sql(),
+    "p5_found": sql.p5_sql(),
     "p2_found": """
         WITH big AS (SELECT DISTINCT id, text FROM text_chunks WHERE length(text) > 900),
         parts AS (SELECT id, unnest(regexp_split_to_array(text, '\\n|[。！？!?]+|\\.(\\s|$)')) AS part FROM big)

@@ -23,3 +23,19 @@ def test_query(spark, data, name):
     if name in COLUMNS:
         assert df.dtypes == COLUMNS[name]
         assert len(set(rows)) == len(rows)
+
+
+@pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
+def test_same_rows_as_sql(spark, data, name):
+    import os
+
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for table in os.listdir(data):
+        con.sql(f"create view {table.removesuffix('.parquet')} as select * from '{data}/{table}'")
+    theirs = con.sql(q.ORACLE_SQL[name])
+    mine = q.QUERIES[name](spark, data)
+    assert sorted(mine.columns) == sorted(theirs.columns)
+    order = sorted(mine.columns)
+    at = [theirs.columns.index(c) for c in order]
+    assert sorted(map(tuple, mine.select(*order).collect())) == sorted(tuple(r[i] for i in at) for r in theirs.fetchall())
