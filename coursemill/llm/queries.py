@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -117,9 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE_SQL: dict[str, str] = {
     "p1_found": sql.p1_sql(),
     "p5_found": sql.p5_sql(),
-    "p2_found": """
-        WITH big AS (SELECT DISTINCT id, text FROM text_chunks WHERE length(text) > 900),
-        parts AS (SELECT id, unnest(regexp_split_to_array(text, '\\n|[。！？!?]+|\\.(\\s|$)')) AS part FROM big)
+    "p2_found": rf"""
+        WITH big AS (SELECT DISTINCT id, regexp_replace(text, '(?i)\b({"|".join(re.escape(a) for a in splitting.ABBREVIATIONS)})\.', '\1,', 'g') AS text FROM text_chunks WHERE length(text) > 900),
+        parts AS (SELECT id, unnest(regexp_split_to_array(text, '\n|[。！？!?]+|\.(\s|$)')) AS part FROM big)
         SELECT id, CASE WHEN max(length(part)) > 898 THEN 'forced' ELSE 'natural' END AS cut FROM parts GROUP BY id
     """,
 }
