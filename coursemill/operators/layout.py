@@ -110,3 +110,39 @@ def reading_order(rows: DataFrame, page: list[str]) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w).cast("bigint"))
 
 
+
+
+def nearest_caption(figures: DataFrame, captions: DataFrame, page: list[str]) -> DataFrame:
+    """(id, caption_id, cost): the caption of each figure on its page: above or below it by at most 24 units or 1.5 heights, the cheapest by gap and a twentieth of the sideways distance."""
+    a = figures.where(valid_box("bbox")).select(*page, "id", F.col("bbox").alias("a"))
+    b = captions.where(valid_box("bbox")).select(*page, F.col("id").alias("caption_id"), F.col("bbox").alias("b"))
+    x, y = F.col("a"), F.col("b")
+    reach = F.greatest(F.lit(24.0), 1.5 * (x[3] - x[1]))
+    a = a.withColumn("band", F.explode(bands(x[1] - reach, x[3] + reach)))
+    pairs = a.join(b.withColumn("band", F.explode(bands(y[1], y[3]))), [*page, "band"]).where(F.col("id") != F.col("caption_id"))
+    vertical = F.greatest(F.lit(0.0), y[1] - x[3], x[1] - y[3])
+    sideways = F.abs((x[0] + x[2]) - (y[0] + y[2])) / 2
+    near = pairs.where(vertical <= reach).withColumn("cost", F.round(vertical + 0.05 * sideways, 4))
+    best = near.groupBy("id").agg(F.min(F.struct("cost", "caption_id")).alias("m"))
+    return best.select("id", F.col("m.caption_id").alias("caption_id"), F.col("m.cost").alias("cost"))
+
+
+def keep_largest(rows: DataFrame, group: list[str], least: float = OWNED) -> DataFrame:
+    """(id) of the boxes that stay: by area, a smaller one is dropped when least of it lies in a larger one of its group (or the other way round)."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        boxes = np.array(pdf["bbox"].tolist(), float).reshape(-1, 4)
+        areas = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+        order = sorted(range(len(pdf)), key=lambda i: (-areas[i], pdf["id"].iloc[i]))
+        kept: list[int] = []
+        for i in order:
+            k = np.array(kept, int)
+            w = np.minimum(boxes[k, 2], boxes[i, 2]) - np.maximum(boxes[k, 0], boxes[i, 0])
+            h = np.minimum(boxes[k, 3], boxes[i, 3]) - np.maximum(boxes[k, 1], boxes[i, 1])
+            inner = np.maximum(w, 0) * np.maximum(h, 0)
+            if not len(k) or (inner < least * np.minimum(areas[k], areas[i])).all():
+                kept.append(i)
+        return pdf.iloc[kept][["id"]]
+
+    ready = rows.where(valid_box("bbox")).select("id", "bbox", *group)
+    return ready.groupBy(*group).applyInPandas(run, "id string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursemill.functions import text as T
-from coursemill.operators import chunking, cleaning, layout, quality
+from coursemill.operators import chunking, cleaning, context, layout, quality
 from coursemill.plans import tables as t
 from coursemill.plans.registry import query
 from coursemill.session import read_table
@@ -181,3 +181,33 @@ def markdown_headings(spark: SparkSession, d: str) -> DataFrame:
     lines = files.markdown_lines(t.pages(spark, d))
     has = lambda mark: F.count_if(F.col("line").rlike(mark))
     return lines.groupBy("source").agg(F.count("*").alias("pages"), has(r"^## ").alias("chapter_headings"), has(r"^(## [^\n]*\n)?### ").alias("section_headings"))
+
+
+@query(
+    f"""WITH {_BOXES}, pairs AS (SELECT l.id, r.id AS caption_id, greatest(0.0, r.bbox[2] - l.bbox[4], l.bbox[2] - r.bbox[4]) AS v, abs((l.bbox[1] + l.bbox[3]) - (r.bbox[1] + r.bbox[3])) / 2 AS h, greatest(24.0, 1.5::DOUBLE * (l.bbox[4] - l.bbox[2])) AS reach
+      FROM b l JOIN b r ON l.source = r.source AND l.page = r.page AND l.id <> r.id WHERE l.element_type IN ('circuit', 'image') AND r.element_type IN ('text', 'title'))
+    SELECT id, caption_id, round(v + 0.05::DOUBLE * h, 4) AS cost FROM pairs WHERE v <= reach QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(v + 0.05::DOUBLE * h, 4), caption_id) = 1"""
+)
+def nearest_captions(spark: SparkSession, d: str) -> DataFrame:
+    """The text or title nearest to each circuit and image."""
+    e = t.elements(spark, d)
+    return layout.nearest_caption(e.where("element_type IN ('circuit', 'image')"), e.where("element_type IN ('text', 'title')"), ["source", "page"])
+
+
+@query()
+def largest_regions(spark: SparkSession, d: str) -> DataFrame:
+    """Elements of a page and kind that lie in no larger one."""
+    return layout.keep_largest(t.elements(spark, d), ["source", "page", "element_type"])
+
+
+@query(
+    """WITH c AS (SELECT DISTINCT id, source, chapter, section, page_start, text, knowledge_tags FROM text_chunks)
+    SELECT id, substring(text, 1, 360) AS excerpt, array_to_string(list_slice(coalesce(knowledge_tags, []), 1, 8), '|') AS tags,
+      concat_ws(' · ', nullif(source, ''), nullif(nullif(chapter, ''), source), nullif(section, ''), page_start::VARCHAR) AS reference FROM c"""
+)
+def hit_projection(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks as hits, with excerpt, tags and reference."""
+    rows = read_table(spark, d, "text_chunks").select("id", "source", "chapter", "section", "page_start", "text", "knowledge_tags").distinct()
+    shown = context.hits(rows, [])
+    parts = [F.col(c) for c in ("source", "chapter", "section", "page_start")]
+    return shown.select("id", "excerpt", F.array_join("tags", "|").alias("tags"), context.reference(*parts).alias("reference"))

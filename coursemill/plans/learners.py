@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursemill.functions import text as T
-from coursemill.operators import changes, grading, insights, sessions
+from coursemill.operators import changes, context, grading, insights, sessions
 from coursemill.plans import tables as t
 from coursemill.plans.registry import query
 from coursemill.session import read_table
@@ -238,3 +238,20 @@ def ext_session(spark: SparkSession, d: str) -> DataFrame:
 def monotone_progress(spark: SparkSession, d: str) -> DataFrame:
     """Progress that never falls."""
     return windows.running_max(read_table(spark, d, "events"), "user_id", "event_id", F.col("value")).select("event_id", "user_id", "progress")
+
+
+@query(
+    """WITH e AS (SELECT ts::DATE AS day, count(*) AS n FROM events GROUP BY 1), m AS (SELECT DISTINCT date_trunc('month', day)::DATE AS month FROM e),
+    g AS (SELECT month, unnest(generate_series(month - (isodow(month) - 1)::INTEGER, month - (isodow(month) - 1)::INTEGER + 41, INTERVAL '1 day'))::DATE AS day FROM m)
+    SELECT strftime(month, '%Y-%m-%d') AS month, strftime(g.day, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM g LEFT JOIN e ON e.day = g.day"""
+)
+def calendar_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Six weeks of every month with events, and the events of each day."""
+    out = context.calendar(read_table(spark, d, "events"), "ts")
+    return out.select(F.date_format("month", "yyyy-MM-dd").alias("month"), F.date_format("day", "yyyy-MM-dd").alias("day"), "n")
+
+
+@query("SELECT item_id, ('0x' || substr(sha1(concat_ws('|', question_code, lang)), 1, 8))::BIGINT AS seed FROM eval_items")
+def variation_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """A stable number for every question."""
+    return read_table(spark, d, "eval_items").select("item_id", context.seed(F.col("question_code"), F.col("lang")).alias("seed"))
