@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from coursemill.functions import text as T
 from coursemill.operators import chunking, cleaning, context, layout, quality
+from coursemill.plans import build
 from coursemill.plans import tables as t
 from coursemill.plans.registry import query
 from coursemill.session import read_table
@@ -211,3 +212,10 @@ def hit_projection(spark: SparkSession, d: str) -> DataFrame:
     shown = context.hits(rows, [])
     parts = [F.col(c) for c in ("source", "chapter", "section", "page_start")]
     return shown.select("id", "excerpt", F.array_join("tags", "|").alias("tags"), context.reference(*parts).alias("reference"))
+
+
+@query()
+def kb_audit(spark: SparkSession, d: str) -> DataFrame:
+    """A knowledge base built from all pages and elements, and the rules it keeps."""
+    elements = t.elements(spark, d)
+    return build.build(t.pages(spark, d), elements, CONCEPTS)["audit"]
