@@ -43,8 +43,9 @@ def test_sessions_of_events(spark):
 
 
 def drain(df, mode):
+    df.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # else a timeout keeps the query going
     query = df.writeStream.outputMode(mode).format("memory").queryName("out").trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query.awaitTermination(60)
     assert not query.exception()
     rows = df.sparkSession.sql("SELECT * FROM out").collect()
     query.stop()
