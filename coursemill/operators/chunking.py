@@ -82,6 +82,56 @@ def element_chunks(elements: DataFrame) -> DataFrame:
     return rows.drop("_n", "_same")
 
 
+def _quoted(c: Column) -> Column:
+    """A string as JSON, null as null."""
+    inside = F.to_json(F.array(c))
+    return F.substring(inside, F.lit(2), F.length(inside) - 2)
+
+
+def _listed(items: Column) -> Column:
+    return F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+
+
+def _json(items: Column, *fields: str) -> Column:
+    """Components or nets as JSON with a blank after commas and colons; null and no items give null."""
+
+    def entry(x: Column) -> Column:
+        ends = F.coalesce(_listed(F.transform(x["terminals"], _quoted)), F.lit("null"))
+        parts = [F.concat(F.lit(f'"{f}": '), _quoted(x[f])) for f in fields]
+        whole = F.concat(F.lit("{"), F.concat_ws(", ", *parts, F.concat(F.lit('"terminals": '), ends)), F.lit("}"))
+        return F.when(x.isNull(), F.lit("null")).otherwise(whole)
+
+    return F.when(F.size(items) > 0, _listed(F.transform(items, entry)))
+
+
+#: What counts as a blank: Unicode white space and the separators of ASCII.
+_BLANK = r"[\s\x1C-\x1F]"
+
+
+def element_text(caption: Column, text: Column, description: Column, components: Column, nets: Column, netlist: Column) -> Column:
+    """All that an element says, a line or more each: caption, text, description, components, nets, netlist; empty where it says nothing."""
+    parts = [caption, text, description, F.concat(F.lit("元件："), _json(components, "id", "type")), F.concat(F.lit("连接网络："), _json(nets, "id"))]
+    parts.append(F.concat(F.lit("Netlist：\n"), F.nullif(netlist, F.lit(""))))
+    body = F.concat_ws("\n", *[F.nullif(p, F.lit("")) for p in parts])
+    return F.regexp_replace(body, rf"(?U)\A{_BLANK}+|{_BLANK}+\z", "")
+
+
+def multimodal_chunks(elements: DataFrame) -> DataFrame:
+    """Layout elements that say anything, with element_text as their text, each content of a page and kind once.
+
+    Text elements are covered by their pages.  Two keys of sameness, both within source, page and
+    element_type: the content hash (none where it is null or empty), and the first 500 characters
+    without blanks in lower case, there by the printed page where it is known; the smallest id stays.
+    """
+    columns = ["caption", "text", "description", "components", "nets", "netlist"]
+    rows = elements.where(~F.col("element_type").eqNullSafe("text")).withColumn("text", element_text(*[F.col(c) for c in columns]))
+    same = F.coalesce(F.concat(F.lit("hash:"), F.nullif("content_hash", F.lit(""))), F.concat(F.lit("id:"), "id"))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("source", "page", "element_type", same).orderBy("id"))).where("_n = 1 AND text <> ''")
+    printed = F.coalesce(F.nullif("source_page", F.lit(0)), "page")
+    begin = F.substring(F.lower(F.regexp_replace("text", rf"(?U){_BLANK}+", "")), 1, 500)
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy("source", printed, "element_type", begin).orderBy("id"))).where("_n = 1").drop("_n")
+
+
 def question_chunks(questions: DataFrame) -> DataFrame:
     """(id, text, doc_type, knowledge_tags): questions as hidden chunks."""
     parts = [F.concat(F.lit("题目："), "text"), F.concat(F.lit("标准答案："), "standard_answer"), F.concat(F.lit("难度："), F.coalesce("difficulty", F.lit("基础")))]

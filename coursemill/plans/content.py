@@ -102,8 +102,14 @@ def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     SELECT id, element_type, text FROM a QUALIFY row_number() OVER (PARTITION BY same ORDER BY id) = 1"""
 )
 def element_chunks(spark: SparkSession, d: str) -> DataFrame:
-    """Layout elements that become chunks, each content once."""
-    return chunking.element_chunks(t.elements(spark, d)).select("id", "element_type", "text")
+    """Layout elements that become chunks by their text alone, each content once in the whole table; multimodal_chunks has all."""
+    return chunking.element_chunks(t.regions(spark, d)).select("id", "element_type", "text")
+
+
+@query()
+def multimodal_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Layout elements that become chunks, with the text of all their fields, each content of a page and kind once."""
+    return chunking.multimodal_chunks(t.elements(spark, d)).select("id", "element_type", "text")
 
 
 @query("SELECT 'question-' || item_id AS id, concat_ws(chr(10), '题目：' || text, '标准答案：' || standard_answer, '难度：' || coalesce(difficulty, '基础')) AS text, 'question' AS doc_type FROM eval_items")
@@ -130,7 +136,7 @@ def concept_tags(spark: SparkSession, d: str) -> DataFrame:
 def index_counters(spark: SparkSession, d: str) -> DataFrame:
     """Counts of what was extracted."""
     kinds = {name: F.col("element_type") == kind for name, kind in (("circuits", "circuit"), ("formulas", "formula"), ("tables", "table"))}
-    return quality.counters(t.elements(spark, d), {**kinds, "uncertain": F.col("uncertain"), "unplaced": F.col("bbox").isNull()})
+    return quality.counters(t.regions(spark, d), {**kinds, "uncertain": F.col("uncertain"), "unplaced": F.col("bbox").isNull()})
 
 
 @query(
@@ -140,13 +146,13 @@ def index_counters(spark: SparkSession, d: str) -> DataFrame:
 )
 def build_validation(spark: SparkSession, d: str) -> DataFrame:
     """Expectations on the extracted elements."""
-    return quality.expect(t.elements(spark, d), {"box has four numbers": F.size("bbox") == 4, "confidence is a part": F.col("confidence").between(0, 1), "page is positive": F.col("page") >= 1})
+    return quality.expect(t.regions(spark, d), {"box has four numbers": F.size("bbox") == 4, "confidence is a part": F.col("confidence").between(0, 1), "page is positive": F.col("page") >= 1})
 
 
 @query()
 def region_suppression(spark: SparkSession, d: str) -> DataFrame:
     """Elements that stay after suppressing overlapping ones of the same kind on a page."""
-    return layout.suppress(t.elements(spark, d), ["source", "page", "element_type"])
+    return layout.suppress(t.regions(spark, d), ["source", "page", "element_type"])
 
 
 _BOXES = "b AS (SELECT DISTINCT id, source, page, element_type, bbox, caption FROM layout_elements WHERE len(bbox) = 4 AND bbox[3] > bbox[1] AND bbox[4] > bbox[2] AND source IS NOT NULL AND page IS NOT NULL)"
@@ -159,7 +165,7 @@ _BOXES = "b AS (SELECT DISTINCT id, source, page, element_type, bbox, caption FR
 )
 def nearby_text(spark: SparkSession, d: str) -> DataFrame:
     """The three texts nearest to each circuit and formula."""
-    e = t.elements(spark, d)
+    e = t.regions(spark, d)
     return layout.nearest(e.where("element_type IN ('circuit', 'formula')"), e.where("element_type = 'text'"), ["source", "page"])
 
 
@@ -169,7 +175,7 @@ def nearby_text(spark: SparkSession, d: str) -> DataFrame:
 )
 def overlapping_regions(spark: SparkSession, d: str) -> DataFrame:
     """Elements that cover a part of another on the same page."""
-    e = t.elements(spark, d)
+    e = t.regions(spark, d)
     return layout.overlapping(e, e, ["source", "page"])
 
 
@@ -191,14 +197,14 @@ def markdown_headings(spark: SparkSession, d: str) -> DataFrame:
 )
 def nearest_captions(spark: SparkSession, d: str) -> DataFrame:
     """The text or title nearest to each circuit and image."""
-    e = t.elements(spark, d)
+    e = t.regions(spark, d)
     return layout.nearest_caption(e.where("element_type IN ('circuit', 'image')"), e.where("element_type IN ('text', 'title')"), ["source", "page"])
 
 
 @query()
 def largest_regions(spark: SparkSession, d: str) -> DataFrame:
     """Elements of a page and kind that lie in no larger one."""
-    return layout.keep_largest(t.elements(spark, d), ["source", "page", "element_type"])
+    return layout.keep_largest(t.regions(spark, d), ["source", "page", "element_type"])
 
 
 @query(

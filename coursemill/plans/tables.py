@@ -41,6 +41,12 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def elements(spark: SparkSession, d: str) -> DataFrame:
+    """Layout elements once each, with the components and nets of circuits."""
+    return read_table(spark, d, "layout_elements").drop("extracted_at", "ingested_at").distinct()
+
+
+def regions(spark: SparkSession, d: str) -> DataFrame:
+    """Layout elements once each, for queries that look at no part of a circuit."""
     return read_table(spark, d, "layout_elements").drop("extracted_at", "ingested_at", "components", "nets").distinct()
 
 
