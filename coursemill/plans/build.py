@@ -12,28 +12,39 @@ from coursemill.session import materialize
 from coursemill.sources.store import VersionedStore
 
 
+#: Schema of the parts of a circuit in a chunk.
+PARTS = "struct<components:array<struct<id:string,type:string,terminals:array<string>>>,nets:array<struct<id:string,terminals:array<string>>>>"
+
+
+def verified(elements: DataFrame) -> DataFrame:
+    """Elements in which a circuit that is not plausible by its parts, confidence and words is an image without parts."""
+    words = F.lower(F.concat_ws("\n", "caption", F.substring("description", 1, 180)))
+    refused = (F.col("element_type") == "circuit") & ~circuits.is_circuit(F.col("components"), F.col("confidence"), words)
+    values = {"element_type": F.lit("image"), "components": F.lit(None), "nets": F.lit(None), "netlist": F.lit("")}
+    return elements.withColumns({c: F.when(refused, x).otherwise(F.col(c)) for c, x in values.items()})
+
+
 def build_chunks(pages: DataFrame, elements: DataFrame, concepts: list[str]) -> DataFrame:
     """Chunks of the cleaned pages and of the elements, tagged with the concepts they name.
 
-    pages has page_id, source, page, chapter, section, text; elements has id, source, page, chapter,
-    section, element_type, text, content_hash, confidence.  Circuits that are not plausible become images.
+    pages has page_id, source, page, chapter, section, text; elements has the columns of layout_elements.
+    Circuits that are not plausible become images; the parts of the others are in multimodal, null for all else.
     """
     cleaned = cleaning.clean_pages(pages)
     facts = pages.select("page_id", "source", "page", "chapter", "section")
     packed = chunking.chunk_pages(facts.join(cleaned.withColumnRenamed("cleaned", "text"), "page_id")).join(facts, "page_id")
     text = packed.select("id", "text", "source", "chapter", "section", F.col("page").alias("page_start"), F.col("page").alias("page_end"), F.lit("text").alias("element_type"))
-    kind = F.when((F.col("element_type") == "circuit") & (F.coalesce("confidence", F.lit(0.0)) < circuits.LEAST_CONFIDENCE), "image").otherwise(F.col("element_type"))
-    drawn = chunking.element_chunks(elements).select("id", "text", "source", "chapter", "section", F.col("page").alias("page_start"), F.col("page").alias("page_end"), kind.alias("element_type"))
+    text = text.withColumn("multimodal", F.lit(None).cast(PARTS))
+    parts = F.when((F.size("components") > 0) | (F.size("nets") > 0), F.struct("components", "nets")).cast(PARTS)
+    columns = ["id", "text", "source", "chapter", "section", F.col("page").alias("page_start"), F.col("page").alias("page_end"), "element_type"]
+    drawn = chunking.multimodal_chunks(verified(elements)).select(*columns, parts.alias("multimodal"))
     rows = text.unionByName(drawn).dropDuplicates(["id"])
     return rows.withColumn("doc_type", F.lit("textbook")).withColumn("knowledge_tags", T.contained(concepts, F.concat_ws(" ", "section", "text")))
 
 
-EMPTY_CIRCUIT = "struct<components:array<struct<id:string,type:string,terminals:array<string>>>,nets:array<struct<id:string,terminals:array<string>>>>"
-
-
 def build(pages: DataFrame, elements: DataFrame, concepts: list[str]) -> dict[str, DataFrame]:
     """The tables of a knowledge base: chunks, nodes, edges, chapters, audit."""
-    chunks = materialize(build_chunks(pages, elements, concepts).withColumn("multimodal", F.lit(None).cast(EMPTY_CIRCUIT)), "chunks")
+    chunks = materialize(build_chunks(pages, elements, concepts), "chunks")
     nodes, edges = graph.nodes(chunks), graph.edges(chunks)
     rules = {
         "chunk has text": F.length(F.trim("text")) > 0,

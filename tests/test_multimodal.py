@@ -4,7 +4,7 @@ import json
 import re
 
 from coursemill.operators import chunking
-from coursemill.plans import tables
+from coursemill.plans import build, content, tables
 
 ELEMENT = (
     "id string, source string, page int, source_page int, element_type string, text string, caption string, description string, netlist string, content_hash string, "
@@ -61,3 +61,25 @@ def test_elements_with_any_content_are_kept_page_by_page(spark):
 def test_elements_of_the_tables(spark, data):
     rows = tables.elements(spark, data)
     assert {r.id: r.text for r in chunking.multimodal_chunks(rows).collect()} == expected(rows.collect())
+
+
+def test_a_built_graph_has_the_parts_of_plausible_circuits(spark, data):
+    pages, elements = tables.pages(spark, data), tables.elements(spark, data)
+    made = build.build(pages, elements, content.CONCEPTS)
+    kinds = {r.type: r["count"] for r in made["nodes"].groupBy("type").count().collect()}
+    edges = {r.type: r["count"] for r in made["edges"].groupBy("type").count().collect()}
+    plausible = [r for r in build.verified(elements).collect() if r.element_type == "circuit"]
+    assert 0 < len(plausible) < elements.where("element_type = 'circuit'").count()
+    assert all(len(r.components) > 1 and r.confidence >= 0.7 for r in plausible)
+    assert kinds["component"] == edges["CONTAINS"] == len({(r.id, c.id) for r in plausible for c in r.components})
+    assert kinds["net"] == len({(r.id, n.id) for r in plausible for n in r.nets}) and edges["CONNECTED_TO"] > 0
+
+
+def test_a_circuit_is_judged_by_its_parts(spark):
+    two = [("R1", "resistor", ["n1", "n2"]), ("R2", "resistor", ["n2", "n3"])]
+    apart = [("R1", "resistor", ["n1", "n2"]), ("R2", "resistor", ["n3", "n4"])]
+    rows = [("a", "circuit", "", 0.9, two), ("b", "circuit", "", 0.9, two[:1]), ("c", "circuit", "", 0.9, apart), ("d", "circuit", "放大电路", 0.9, apart), ("e", "circuit", "", 0.5, two), ("f", "circuit", "", None, two), ("g", "table", "", 0.1, None), ("h", "circuit", "", 0.9, None)]
+    df = spark.createDataFrame([(*r, None, "", "x") for r in rows], "id string, element_type string, caption string, confidence double, components array<struct<id:string,type:string,terminals:array<string>>>, nets array<struct<id:string,terminals:array<string>>>, description string, netlist string")
+    got = {r.id: (r.element_type, r.components is not None, r.netlist) for r in build.verified(df).collect()}
+    assert {k for k, v in got.items() if v == ("circuit", True, "x")} == {"a", "d"} and got["g"] == ("table", False, "x")
+    assert {k for k, v in got.items() if v == ("image", False, "")} == {"b", "c", "e", "f", "h"}
