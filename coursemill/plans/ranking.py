@@ -150,8 +150,10 @@ def visual_lane(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def near_dup_questions(spark: SparkSession, d: str) -> DataFrame:
-    """Questions of requests that are almost the same, with the class of each."""
-    return fuzzy.near_duplicates(t.requests(spark, d), "request_id", "question")
+    """Questions of requests that are almost the same, with the class of each; a request with nothing to compare is a class of its own."""
+    rows = t.request_questions(spark, d)
+    found = rows.select("request_id").join(fuzzy.near_duplicates(rows, "request_id", "question"), "request_id", "left")
+    return found.select("request_id", F.coalesce("class_id", "request_id").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
 
 
 @query()

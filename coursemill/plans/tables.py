@@ -55,6 +55,12 @@ def requests(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "mistake_requests").drop("received_at", "attachment_ids").dropDuplicates(["request_id"])
 
 
+def request_questions(spark: SparkSession, d: str) -> DataFrame:
+    """(request_id, question): what every request asks, content where question is blank."""
+    blank = F.trim(F.coalesce("question", F.lit(""))) == ""
+    return requests(spark, d).select("request_id", F.when(blank, F.col("content")).otherwise(F.col("question")).alias("question"))
+
+
 def mistakes(spark: SparkSession, d: str) -> DataFrame:
     """(student_id, request_id, source, agent, tags): requests with the tags of their question in the bank."""
     bank = read_table(spark, d, "eval_items").select(F.col("question_code").alias("question_bank_id"), F.col("knowledge_tags").alias("tags"))
