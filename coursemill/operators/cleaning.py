@@ -24,6 +24,11 @@ def page_lines(pages: DataFrame, profile: str = "cjk") -> DataFrame:
     return rows.select("page_id", "source", (F.col("at") + 1).cast("bigint").alias("line_no"), T.normalize_line("raw", profile).alias("line"))
 
 
+def composed(pages: DataFrame) -> DataFrame:
+    """pages with their text under NFKC, with which the normalisation of lines begins."""
+    return pages.withColumn("text", T.nfkc("text"))
+
+
 def edge_noise(pages: DataFrame) -> DataFrame:
     """(source, line, n): lines that stand among the first or last two of so many pages of a source that they are furniture.
 
@@ -107,8 +112,8 @@ def reflow(lines: list[str]) -> list[str]:
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:
-    """(page_id, cleaned): the kept lines of each page as paragraphs; pages without any are left out."""
-    lines = clean_lines(pages).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    """(page_id, cleaned): the kept lines of each page, under NFKC, as paragraphs; pages without any are left out."""
+    lines = clean_lines(composed(pages)).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
     rows = lines.select("page_id", F.transform("l", lambda x: x["line"]).alias("lines"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -44,6 +44,24 @@ def clean_lines(spark: SparkSession, d: str) -> DataFrame:
     return cleaning.clean_lines(t.pages(spark, d)).select("page_id", "line_no", "line")
 
 
+@query()
+def nfkc_lines(spark: SparkSession, d: str) -> DataFrame:
+    """normalize_lines of the texts under NFKC, which DuckDB has not."""
+    return cleaning.page_lines(cleaning.composed(t.pages(spark, d))).select("page_id", "line_no", "line")
+
+
+@query()
+def nfkc_edge_noise(spark: SparkSession, d: str) -> DataFrame:
+    """edge_noise of the texts under NFKC."""
+    return cleaning.edge_noise(cleaning.composed(t.pages(spark, d)))
+
+
+@query()
+def nfkc_clean_lines(spark: SparkSession, d: str) -> DataFrame:
+    """clean_lines of the texts under NFKC."""
+    return cleaning.clean_lines(cleaning.composed(t.pages(spark, d))).select("page_id", "line_no", "line")
+
+
 @query()
 def clean_pages(spark: SparkSession, d: str) -> DataFrame:
     """Pages as paragraphs of their clean lines."""
