@@ -57,6 +57,38 @@ def test_empty_table(spark):
     assert r.find_residue(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_template_path_ignores_figures():
-    assert r.template_path("错误 503，请求号 18f4fc") == r.template_path("错误 401，请求号 225b99b0")
-    assert r.template_path("a b c") != r.template_path("a b d")
+def place(line):
+    leaf, template = r.tree_place(r.parse_lines(*r.flat_texts([line])))
+    return int(leaf[0]), int(template[0])
+
+
+def test_figures_and_identifiers_are_wildcards():
+    assert place("错误 503，请求号 18f4fc") == place("错误 401，请求号 225b99b0")
+    assert place("a b c")[1] != place("a b d")[1]
+
+
+def test_a_leaf_is_a_length_and_leading_tokens():
+    assert place("one two three four five six")[0] == place("one two three four six five")[0]
+    assert place("one two three four five six")[0] != place("one two three four five")[0]
+    assert place("one two three four five six")[0] != place("six two three four five one")[0]
+
+
+def test_templates_of_a_leaf_merge_but_for_one_run(spark):
+    lines = ["the page of the course notes was moved", "the page of the lab notes was moved", "the page of the lab notes was lost", "an other page of the lab notes was moved"]
+    rows = spark.createDataFrame(list(enumerate(lines)), "template long, line string")
+    merged = {x.template: x.merged for x in r.merge_leaves(rows).collect()}
+    assert merged == {0: 0, 1: 0, 2: 0}
+
+
+@pytest.mark.parametrize("half", [0, 1])
+def test_messages_that_are_no_examples_are_found(half):
+    known = {k: r.messages.examples(k)[half::2] for k in r.KINDS[1:]}
+    model = r.train([text for _, text, _ in documents()[0]], known)
+    hit = total = 0
+    for kind in r.KINDS[r.MESSAGES :]:
+        lines = r.parse_lines(*r.flat_texts(r.messages.examples(kind)[1 - half :: 2]))
+        best = r.kinds_of(model, lines).argmax(1)
+        hit, total = hit + int((best == r.KINDS.index(kind)).sum()), total + len(best)
+    assert hit / total >= 0.6  # half of the kinds of messages are unknown to it
+    content = r.parse_lines(*r.flat_texts(PROSE))
+    assert (r.kinds_of(model, content)[:, r.MESSAGES :].sum(1) < r.LEAST_POSTERIOR).all()
