@@ -308,18 +308,20 @@ def classify_templates(lines: DataFrame, model: LineClassifier) -> DataFrame:
     The counts of merged templates are added up; the sample of a merged template is its smallest
     line, so the verdict is the same however the rows are partitioned.
     """
-    stats = lines.where("NOT slot").groupBy("template").agg(F.sum("n").alias("n"), F.sum(F.col("alone").cast("int")).alias("alone"), F.min("line").alias("line")).where("alone > 0")
+    stats = lines.where("NOT slot").groupBy("path", "template").agg(F.sum("n").alias("n"), F.sum(F.col("alone").cast("int")).alias("alone"), F.min("line").alias("line")).where("alone > 0")
     stats = materialize(stats, "residue-templates")
-    joined = stats.join(merge_leaves(stats), "template", "left").withColumn("merged", F.coalesce("merged", "template"))
+    shared = stats.groupBy("path").agg(F.count("*").alias("members")).where("members > 1").select("path")  # leaves with one template have nothing to merge
+    merged = merge_leaves(salted_join(stats.select("path", "template", "line"), shared, ["path"], "left_semi"))
+    joined = stats.join(merged, "template", "left").withColumn("merged", F.coalesce("merged", "template"))
     groups = joined.groupBy("merged").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.min("line").alias("line"))
     picked = groups.where(F.col("alone") >= ALONE_PART * F.col("n")).select("merged", "line")
-    shared = lines.sparkSession.sparkContext.broadcast(model)
+    known = lines.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in cp.row_slices(batch, "line"):
                 one = parse_lines(*canonicalize(*cp.flatten(part.column(1))))
-                p = kinds_of(shared.value, one)
+                p = kinds_of(known.value, one)
                 best = p[:, MESSAGES:].argmax(1) + MESSAGES
                 slotted = np.array([SLOT.search(x) is not None for x in cp.unflatten(one.points, np.concatenate((one.start, one.end[-1:]))).to_pylist()], bool)
                 hit = np.flatnonzero(~slotted & (p[:, MESSAGES:].sum(1) >= LEAST_POSTERIOR))
