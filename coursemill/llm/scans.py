@@ -2,8 +2,10 @@
 
 An averaged-perceptron character editor decides, for every place where an edit is possible,
 between keeping and replacing, deleting or inserting characters, or joining two lines whose
-word was divided.  Places come from a table of signs that scanners confuse and from marks
-at line ends; the evidence are counts of words, of hyphened compounds and of runs of three
+word was divided.  Places come from confusions of signs and from marks at line
+ends: besides a few known ones, the confusions are learned from the corpus, as edits (one sign
+or a pair replaced, a sign dropped or put in) that lead from rare words or runs of ideographs
+to frequent ones for several different words; the evidence are counts of words, of hyphened compounds and of runs of three
 ideographs over all texts, kept in a hashed table of fixed size.  A second perceptron tells
 furniture (running titles, page numbers) from content by position on the page, likeness to
 the titles and equality with the printed number.  Both are trained on a bounded sample of
@@ -16,7 +18,7 @@ from __future__ import annotations
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -30,14 +32,20 @@ from pyspark.sql import functions as F
 from coursemill.functions import codepoints as cp
 from coursemill.llm.canonical import canonicalize
 from coursemill.llm.perceptron import AveragedPerceptron
+from coursemill.llm.sampling import bounded_sample
 from coursemill.operators.joins import guarded_join
 
-#: The sample the classifiers are fitted on has at most so many texts.
+#: The sample the classifiers are fitted on has about so many texts, at most twice as many.
 SAMPLE_ROWS = 3_000
+#: A confusion is learned from at least so many different words or places, in which what is right is so many times as frequent.
+SUPPORT = 4
+RARER = 24
+#: A word that was seen less often is no repair of another.
+LEAST_EVIDENCE = 4
 #: Two rows of 2 ** TABLE_BITS counters: the size of the count table, whatever the corpus.
 TABLE_BITS = 21
 
-#: What a scanner writes, and what may stand on the page.
+#: Known confusions to begin with: what a scanner writes, and what may stand on the page.
 CONFUSIONS = [
     ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("8", "b"), ("9", "g"), ("6", "b"), ("2", "z"),
     ("u", "n"), ("n", "u"), ("b", "h"), ("h", "b"), ("e", "c"), ("c", "e"), ("l", "i"), ("i", "l"), ("t", "f"), ("f", "t"), ("o", "a"), ("a", "o"), ("v", "y"), ("q", "g"), ("l", "t"), ("r", "n"),
@@ -47,9 +55,9 @@ CONFUSIONS = [
     ("天", "大"), ("夭", "天"), ("大", "太"), ("木", "本"), ("侍", "待"), ("于", "干"), ("贝", "见"), ("兔", "免"), ("拆", "折"), ("折", "拆"), ("汽", "气"), ("幅", "副"), ("析", "折"), ("祸", "耦"), ("偶", "耦"), ("拔", "拨"), ("晶", "品"),
     ("羌", "差"), ("敉", "数"), ("入", "人"), ("日", "目"), ("待", "侍"), ("由", "申"), ("田", "由"), ("侧", "测"), ("则", "测"), ("值", "植"), ("植", "值"), ("徽", "微"), ("徵", "微"), ("秏", "耗"), ("稳", "隐"), ("隐", "稳"), ("输", "轮"), ("轮", "输"), ("相", "栢"),
 ]
-#: Marks that divide a word at a line end.
+#: Marks that divide a word at a line end.
 DIVIDERS = "-‐‑¬\xad–"
-#: Signs scanners write for figures.
+#: Signs scanners write for figures.
 AS_FIGURE = str.maketrans({"l": "1", "I": "1", "i": "1", "|": "1", "O": "0", "o": "0", "Q": "0", "D": "0", "S": "5", "s": "5", "B": "8", "Z": "2", "z": "2", "q": "9", "g": "9", "b": "6"})
 _N = r"[0-9lIi|OoSsBZzqgQDb]{1,6}"
 PAGE_NUMBER = re.compile(
@@ -237,24 +245,88 @@ def _bin(n: float) -> int:
     return min(int(math.log2(n + 1)), 14)
 
 
-@lru_cache(1)
-def _latin_confusions() -> list[tuple[str, str]]:
-    return [(a, b) for a, b in CONFUSIONS if ord(a[0]) < 0x2E80]
-
-
-@lru_cache(1)
-def _ideograph_confusions() -> dict[int, list[int]]:
-    out: dict[int, list[int]] = {}
-    for a, b in CONFUSIONS:
-        if ord(a[0]) >= 0x2E80:
-            out.setdefault(ord(a), []).append(ord(b))
-    return out
-
-
-def alternatives(word: str) -> list[tuple[str, str, str]]:
+@dataclass
+class Confusions:
+    """What scanners write for what: pairs of Latin signs (either may be empty), and for each ideograph what may stand for it."""
+
+    latin: list[tuple[str, str]]
+    ideographs: dict[int, list[int]]
+
+    @classmethod
+    def of(cls, pairs: Iterable[tuple[str, str]]) -> Confusions:
+        latin, ideographs = [], {}
+        for seen, truth in dict.fromkeys(pairs):
+            if ord((seen or truth)[0]) < 0x2E80:
+                latin.append((seen, truth))
+            else:
+                ideographs.setdefault(ord(seen), []).append(ord(truth))
+        return cls(latin, ideographs)
+
+    def pairs(self) -> list[tuple[str, str]]:
+        return [*self.latin, *((chr(a), chr(b)) for a, bs in self.ideographs.items() for b in bs)]
+
+
+def _holes(word: str) -> Iterator[tuple[str, str]]:
+    """The word with each sign, each pair and each gap between signs taken out: (word with a hole, what was there)."""
+    for i in range(len(word) + 1):
+        yield f"{word[:i]}\0{word[i:]}", ""
+        for size in (1, 2):
+            if i + size <= len(word):
+                yield f"{word[:i]}\0{word[i + size :]}", word[i : i + size]
+
+
+def _kept(rare: dict[tuple[str, str], set], both: dict[tuple[str, str], set], known: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
+    """The edits that several words support, and that seldom lead from one ordinary word to another."""
+    return sorted(pair for pair, at in rare.items() if pair not in known and len(at) >= SUPPORT and len(at) > 2 * len(both.get(pair, ())))
+
+
+def learn_latin(words: Iterable[str], counts: Counts) -> list[tuple[str, str]]:
+    """(seen, truth): the edits that lead from rare words to words RARER times as frequent."""
+    words = sorted(w for w in words if w.isalnum() and len(w) <= 40)
+    number = dict(zip(words, counts.of(_word_key(words)).tolist())) if words else {}
+    index: dict[str, list[tuple[str, str]]] = {}
+    for word in words:
+        for hole, truth in _holes(word):
+            index.setdefault(hole, []).append((word, truth))
+    rare: dict[tuple[str, str], set] = {}
+    both: dict[tuple[str, str], set] = {}
+    for group in index.values():
+        if len(group) < 2:
+            continue
+        group = sorted(group, key=lambda x: -number[x[0]])
+        best, truth = group[0]  # the most frequent of the words with this hole
+        for word, seen in group[1:]:
+            if seen != truth and len(seen) + len(truth) < 4 and number[best] >= 4:
+                (rare if number[word] * RARER <= number[best] else both).setdefault((seen, truth), set()).add(best)
+    return _kept(rare, both, CONFUSIONS)
+
+
+def learn_ideographs(runs: np.ndarray, counts: Counts) -> list[tuple[str, str]]:
+    """(seen, truth): ideographs that are rare between two others where another one is RARER times as frequent.  runs: different runs of three."""
+    if not len(runs):
+        return []
+    number = counts.of(trigram_key(runs[:, 0], runs[:, 1], runs[:, 2]))
+    around = runs[:, 0].astype(np.int64) << 21 | runs[:, 2]
+    order = np.lexsort((-number, around))
+    runs, number, around = runs[order], number[order], around[order]
+    head = np.concatenate(([True], around[1:] != around[:-1]))
+    first = np.flatnonzero(head)[np.cumsum(head) - 1]
+    other = np.flatnonzero(~head & (number[first] >= 4))
+    rare: dict[tuple[str, str], set] = {}
+    both: dict[tuple[str, str], set] = {}
+    extreme = number[other] * RARER <= number[first[other]]
+    for seen, truth, key, is_rare in zip(runs[other, 1].tolist(), runs[first[other], 1].tolist(), around[other].tolist(), extreme.tolist()):
+        (rare if is_rare else both).setdefault((chr(seen), chr(truth)), set()).add(key)
+    return _kept(rare, both, CONFUSIONS)
+
+
+def alternatives(word: str, confusions: list[tuple[str, str]]) -> list[tuple[str, str, str]]:
     """(other word, what was seen, what it may have been) by one confusion, everywhere or at one place."""
     out = []
-    for seen, truth in _latin_confusions():
+    for seen, truth in confusions:
+        if not seen:
+            out += [(word[:at] + truth + word[at:], seen, truth) for at in range(len(word) + 1)]
+            continue
         at = word.find(seen)
         if at < 0:
             continue
@@ -276,14 +348,14 @@ def word_features(word: str, other: str, seen: str, truth: str, mine: int, best:
     ], op
 
 
-def best_word(word: str, counts: Counts) -> tuple[str, str, str, int, int] | None:
+def best_word(word: str, counts: Counts, confusions: list[tuple[str, str]]) -> tuple[str, str, str, int, int] | None:
     """The most frequent other word of a word, if it is more frequent at all."""
-    others = alternatives(word)
+    others = alternatives(word, confusions)
     if not others:
         return None
     known = counts.of(_word_key([word, *(o[0] for o in others)])).tolist()
     at = max(range(len(others)), key=lambda i: known[i + 1])
-    if known[at + 1] <= known[0] or known[at + 1] < 4:
+    if known[at + 1] <= known[0] or known[at + 1] < LEAST_EVIDENCE:
         return None
     return (*others[at], known[0], known[at + 1])
 
@@ -352,8 +424,6 @@ def _first_sign(name: str) -> str:
 def line_features(line: str, at: int, of: int, title: str, chapters: list[str], printed: int | None) -> list[str] | None:
     """Features of a line as furniture, or None where it cannot be any. at: its place among of lines with content."""
     text = line.strip()
-    if len(text) > 90:
-        return None
     edge = min(at, of - 1 - at)
     place = "edge0" if edge == 0 else "edge1" if edge == 1 else "edge2" if edge == 2 else "inner"
     number = PAGE_NUMBER.match(text) if len(text) <= 30 and NUMBER_SIGN.search(text) else None
@@ -389,6 +459,7 @@ class Editor:
     """The trained perceptrons and the counts they look at."""
 
     counts: Counts
+    confusions: Confusions
     edits: AveragedPerceptron
     furniture: AveragedPerceptron
     cache: dict[str, str | None] = field(default_factory=dict)
@@ -398,7 +469,7 @@ class Editor:
         if word not in self.cache:
             if len(self.cache) > 500_000:
                 self.cache.clear()
-            found, result = best_word(word, self.counts), None
+            found, result = best_word(word, self.counts, self.confusions.latin), None
             if found:
                 features, op = word_features(word, *found)
                 if self.edits.predict(features, (KEEP, op)) != KEEP:
@@ -415,7 +486,7 @@ class Editor:
 
     def ideographs(self, p: Parsed) -> list[tuple[int, int]]:
         """(position, right ideograph) of the misread ideographs of a batch."""
-        table = _ideograph_confusions()
+        table = self.confusions.ideographs
         at, follows = joined_ideographs(p)
         if len(at) < 2:
             return []
@@ -452,22 +523,25 @@ class Editor:
 
 
 DIVIDED = re.compile(r"(?<=[A-Za-zÀ-ɏ0-9])([-‐‑¬–]) ?\n[ 　]*([A-Za-zÀ-ɏ]+)")
-LAST_WORD = re.compile(r"[A-Za-zÀ-ɏ0-9]+\Z")
+LETTER_OR_FIGURE = re.compile(r"[A-Za-zÀ-ɏ0-9]")
 
 
 def divided_words(text: str) -> Iterator[tuple[str, re.Match]]:
     """The first part of each word that is followed by a mark and a line end, and the match of mark and second part."""
     for m in DIVIDED.finditer(text):
-        yield LAST_WORD.search(text, max(0, m.start() - 60), m.start())[0], m
+        start = m.start()
+        while start and LETTER_OR_FIGURE.match(text, start - 1):
+            start -= 1
+        yield text[start : m.start()], m
 
 
-def _noisy_word(word: str, rng: random.Random) -> tuple[str, str, str] | None:
+def _noisy_word(word: str, rng: random.Random, confusions: list[tuple[str, str]]) -> tuple[str, str, str] | None:
     """A word with one confusion put in: (noisy word, seen, truth)."""
-    options = [(a, b) for a, b in _latin_confusions() if b in word]
+    options = [(a, b) for a, b in confusions if b in word]
     if not options:
         return None
     seen, truth = rng.choice(options)
-    places = [m.start() for m in re.finditer(re.escape(truth), word)]
+    places = [m.start() for m in re.finditer(re.escape(truth), word)] if truth else list(range(len(word) + 1))
     at = rng.choice(places)
     noisy = word[:at] + seen + word[at + len(truth) :]
     return (noisy, seen, truth) if noisy != word else None
@@ -479,16 +553,24 @@ def train_editor(sample: pd.DataFrame, counts: Counts, seed: int = 11) -> Editor
     edits: list[tuple[list[str], tuple[str, ...], str]] = []
     furniture: list[tuple[list[str], tuple[str, ...], str]] = []
     vocabulary: set[str] = set()
+    runs, parsed = [], []
+    for text in sample["text"]:
+        points = np.frombuffer((text or "").encode("utf-32-le"), np.uint32)
+        p = parse(points, np.array([0, len(points)]))
+        parsed.append(p)
+        at, follows = joined_ideographs(p)
+        run = np.flatnonzero(follows[2:] & follows[1:-1]) + 2 if len(at) > 2 else np.zeros(0, int)
+        runs.append(np.stack([p.points[at[run - k]] for k in (2, 1, 0)], 1).astype(np.int64) if len(run) else np.zeros((0, 3), np.int64))
+        before_end, after_start = at_line_edge(p)
+        vocabulary.update(p.words(np.flatnonzero(countable(p) & ~before_end & ~after_start)))
+    runs = np.concatenate(runs or [np.zeros((0, 3), np.int64)])
+    confusions = Confusions.of([*CONFUSIONS, *learn_latin(vocabulary, counts), *learn_ideographs(np.unique(runs, axis=0), counts)])
     reverse: dict[int, list[int]] = {}
-    for a, bs in _ideograph_confusions().items():
+    for a, bs in confusions.ideographs.items():
         for b in bs:
             reverse.setdefault(b, []).append(a)
-    for row in sample.itertuples(index=False):
-        points = np.frombuffer((row.text or "").encode("utf-32-le"), np.uint32)
-        p = parse(points, np.array([0, len(points)]))
+    for row, p in zip(sample.itertuples(index=False), parsed):
         text = p.points.astype("<u4").tobytes().decode("utf-32-le")
-        before_end, after_start = at_line_edge(p)
-        vocabulary.update(p.words(np.flatnonzero(countable(p) & ~before_end & ~after_start)))
         # ideographs: the text as it is, and with one put wrong
         at, follows = joined_ideographs(p)
         chars = p.points[at].tolist()
@@ -500,7 +582,7 @@ def train_editor(sample: pd.DataFrame, counts: Counts, seed: int = 11) -> Editor
             if chars[i] in reverse and rng.random() < 0.3:
                 wrong = rng.choice(reverse[chars[i]])
                 edits.append((ideograph_features(key(wrong), key(chars[i]), chr(wrong), chr(chars[i])), (KEEP, REPLACE), REPLACE))
-            for other in _ideograph_confusions().get(chars[i], []):
+            for other in confusions.ideographs.get(chars[i], []):
                 mine, theirs = key(chars[i]), key(other)
                 if max(mine) >= 0.02 * max(theirs):  # else the text itself may be misread here
                     edits.append((ideograph_features(mine, theirs, chr(chars[i]), chr(other)), (KEEP, REPLACE), KEEP))
@@ -526,7 +608,7 @@ def train_editor(sample: pd.DataFrame, counts: Counts, seed: int = 11) -> Editor
         for name in (row.title, *chapters):  # damaged and shortened titles
             if name and len(name) >= 6:
                 noisy = name[: rng.randint(max(5, int(len(name) * 0.7)), len(name))]
-                options = [(a, b) for a, b in CONFUSIONS if b in noisy]
+                options = [(a, b) for a, b in confusions.pairs() if b and b in noisy]
                 if options:
                     a, b = rng.choice(options)
                     noisy = noisy.replace(b, a, 1)
@@ -540,13 +622,13 @@ def train_editor(sample: pd.DataFrame, counts: Counts, seed: int = 11) -> Editor
         mine = counts.word(word)
         if mine < 8 or not word.isalpha():
             continue
-        noisy = _noisy_word(word, rng)
+        noisy = _noisy_word(word, rng, confusions.latin)
         if noisy:
             seen_count = counts.word(noisy[0])
             if seen_count * 8 < mine:
                 features, op = word_features(noisy[0], word, noisy[1], noisy[2], seen_count, mine)
                 edits.append((features, (KEEP, op), op))
-        found = best_word(word, counts)
+        found = best_word(word, counts, confusions.latin)
         if found and found[3] * 24 >= found[4]:  # a frequent word that resembles a more frequent one
             features, op = word_features(word, *found)
             edits.append((features, (KEEP, op), KEEP))
@@ -554,7 +636,7 @@ def train_editor(sample: pd.DataFrame, counts: Counts, seed: int = 11) -> Editor
             cut = rng.randint(2, len(word) - 2)
             for mark in ("-", rng.choice("¬‐")):
                 edits.append((join_features(word[:cut], word[cut:], mark, counts), (KEEP, JOIN), JOIN))
-    return Editor(counts, AveragedPerceptron().train(edits), AveragedPerceptron().train(furniture))
+    return Editor(counts, confusions, AveragedPerceptron().train(edits), AveragedPerceptron().train(furniture))
 
 
 def page_rows(pages: DataFrame, elements: DataFrame, sources: DataFrame) -> DataFrame:
@@ -583,8 +665,8 @@ def page_rows(pages: DataFrame, elements: DataFrame, sources: DataFrame) -> Data
 
 
 def fit(rows: DataFrame) -> Editor:
-    """Counts over all rows, and perceptrons fitted on at most SAMPLE_ROWS of them."""
-    sample = rows.withColumn("_order", F.xxhash64("row_key")).orderBy("_order").limit(SAMPLE_ROWS).drop("_order").toPandas()
+    """Counts over all rows, and perceptrons fitted on about SAMPLE_ROWS of them."""
+    sample = pd.DataFrame(bounded_sample(rows, SAMPLE_ROWS), columns=rows.columns)
     sample["printed"] = [None if x is None or x != x else int(x) for x in sample["printed"]]
     return train_editor(sample, count_corpus(rows))
 

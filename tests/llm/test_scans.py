@@ -94,3 +94,41 @@ def test_word_positions():
     before, after = s.at_line_edge(p)
     assert p.words(np.arange(len(p.starts))) == ["cur", "rent", "flow", "b", "c"]
     assert before.tolist() == [True, False, False, False, False] and after.tolist() == [False, True, False, False, False]
+
+
+def counts_of(numbers):
+    table = np.zeros((2, 1 << s.TABLE_BITS), np.uint32)
+    for key, n in numbers:
+        a, b = s.Counts.cells(np.array([key], np.uint64))
+        table[0][a] += n
+        table[1][b] += n
+    return s.Counts(table)
+
+
+def test_confusions_that_are_not_listed_are_learned():
+    good = ["window", "switching", "crown", "bandwidth", "power", "flow", "lower"]
+    bad = [w.replace("w", "uv", 1) for w in good] + ["poker"]
+    listed = {*s.CONFUSIONS}
+    assert ("uv", "w") not in listed and ("k", "w") not in listed
+    counts = counts_of([(int(s._word_key([w])[0]), 900) for w in good] + [(int(s._word_key([w])[0]), 2) for w in bad])
+    assert s.learn_latin({*good, *bad}, counts) == [("uv", "w")]  # a single word supports no confusion
+
+
+def test_ordinary_variants_are_no_confusions():
+    words = [f"{stem}{end}" for stem in ("filter", "stage", "meter", "signal", "relay", "diode") for end in ("", "s")]
+    counts = counts_of([(int(s._word_key([w])[0]), 900 if not w.endswith("s") else 300) for w in words])
+    assert s.learn_latin(set(words), counts) == []
+
+
+def test_ideograph_confusions_are_learned():
+    runs = [(ord(a), ord("洲"), ord(b)) for a, b in zip("电直交稳滤", "压流阻容感")]
+    right = [(a, ord("测"), b) for a, _, b in runs]
+    numbers = [(int(s.trigram_key(*(np.array([x], np.uint64) for x in r))[0]), n) for rows, n in ((runs, 1), (right, 400)) for r in rows]
+    assert s.learn_ideographs(np.array(runs + right), counts_of(numbers)) == [("洲", "测")]
+
+
+def test_sample_does_not_grow_with_partitions(spark, monkeypatch):
+    from coursemill.llm.sampling import bounded_sample
+
+    rows = spark.range(3000).selectExpr("'t' AS tbl", "string(id) AS row_key", "concat('text ', id) AS text", "'x' AS title", "array('c') AS chapters", "1 AS printed")
+    assert len(bounded_sample(rows.repartition(10), 100)) == len(bounded_sample(rows.repartition(200), 100)) <= 200
