@@ -25,20 +25,28 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from coursemill.functions import codepoints as cp
+from coursemill.operators.joins import salted_join
 from coursemill.session import materialize
 
-#: Letters of other scripts that look like Latin ones.
+#: Letters of other scripts, and variants of Latin ones, that look like plain Latin letters.
 LOOKALIKES = {
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "Ү": "Y",
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "ԝ": "w", "х": "x", "у": "y",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o",
+    "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W", "ӏ": "l", "Ӏ": "l", "ν": "v", "ϲ": "c", "Ϲ": "C", "ϳ": "j", "Ϳ": "J", "ɡ": "g", "ɑ": "a",
+    "օ": "o", "Օ": "O", "ս": "u", "Տ": "S", "հ": "h", "ո": "n", "ց": "g",
+    "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭰ": "D", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮃ": "W", "Ꮓ": "Z",
     "‐": "-", "‑": "-",
 }
-#: Simplified radicals without a decomposition in Unicode's tables.
+#: Simplified radicals without a decomposition in Unicode's tables.
 RADICALS = {"⻅": "见", "⻆": "角", "⻉": "贝", "⻋": "车", "⻓": "长", "⻔": "门", "⻘": "青", "⻙": "韦", "⻚": "页", "⻛": "风", "⻜": "飞", "⻢": "马", "⻥": "鱼", "⻦": "鸟", "⻩": "黄", "⻬": "齐", "⻮": "齿", "⻰": "龙"}
-#: Blanks as wide as an ideograph, which a reader can tell from a blank of normal width.
+#: Blanks as wide as an ideograph, which a reader can tell from a blank of normal width.
 WIDE_BLANKS = {0x2001, 0x2003, 0x3000}
 SPACE = 0x20
+#: Classes with more rows are spread when their links are listed.
+HOT_MEMBERS = 1_000
+#: Parts of Hangul syllables, which compose by rule: first syllable, leads, vowels, finals.
+SYLLABLES, LEADS, VOWELS, FINALS = 0xAC00, range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)
 
 
 def _is_ignorable(point: int, category: str) -> bool:
@@ -52,7 +60,7 @@ def _one(point: int) -> str:
     if _is_ignorable(point, category):
         return ""
     if category == "Zs":
-        return char if point in WIDE_BLANKS else " "
+        return unicodedata.normalize("NFC", char) if point in WIDE_BLANKS else " "
     if char in LOOKALIKES:
         return LOOKALIKES[char]
     if char in RADICALS:
@@ -110,6 +118,10 @@ class Mapping:
         self.is_decomposed[list(self.decomposed)] = True
         self.pairs = np.array(sorted(compositions), np.int64)
         self.composed = np.array([compositions[k] for k in sorted(compositions)], np.uint32)
+        #: What may change with the sign before it: marks, second parts of compositions, and vowels and finals of syllables.
+        self.follows = self.mark_class > 0
+        self.follows[self.pairs & 0x1FFFFF] = True
+        self.follows[VOWELS.start : VOWELS.stop] = self.follows[FINALS.start : FINALS.stop] = True
 
 
 @lru_cache(1)
@@ -129,6 +141,15 @@ def _expand(points: np.ndarray, offsets: np.ndarray, hits: np.ndarray, table: di
     return out, ends[offsets]
 
 
+def _syllable(before: int, point: int) -> int:
+    """The syllable of two of its parts, or 0."""
+    if before in LEADS and point in VOWELS:
+        return SYLLABLES + ((before - LEADS.start) * len(VOWELS) + point - VOWELS.start) * (len(FINALS) + 1)
+    if SYLLABLES <= before < 0xD7A4 and (before - SYLLABLES) % (len(FINALS) + 1) == 0 and point in FINALS:
+        return before + point - FINALS.start + 1
+    return 0
+
+
 def _reorder_and_compose(points: np.ndarray, m: Mapping) -> np.ndarray:
     """Canonical order and composition of one decomposed text."""
     order = m.mark_class[points]
@@ -146,6 +167,9 @@ def _reorder_and_compose(points: np.ndarray, m: Mapping) -> np.ndarray:
             if at < len(m.pairs) and m.pairs[at] == key:
                 out[base] = int(m.composed[at])
                 continue
+            if base == len(out) - 1 and (whole := _syllable(out[base], point)):
+                out[base] = whole
+                continue
         if rank == 0:
             base, last = len(out), 0
         else:
@@ -164,7 +188,7 @@ def canonicalize(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
     if drop.any():
         points, offsets = cp.keep(points, offsets, ~drop)
     points = m.single[points]
-    marks = m.mark_class[points] > 0
+    marks = m.follows[points]
     if not marks.any():
         return points, offsets
     rows = np.unique(np.searchsorted(offsets, np.flatnonzero(marks), "right") - 1)
@@ -175,7 +199,7 @@ def canonicalize(points: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, n
         one = points[first:last]
         # only what lies around a mark can change: from the starter before it to the last mark of its run
         spans, at = [], 0
-        where = np.flatnonzero(m.mark_class[one] > 0)
+        where = np.flatnonzero(m.follows[one])
         for group in np.split(where, np.flatnonzero(np.diff(where) > 1) + 1):
             start, stop = max(int(group[0]) - 1, 0), int(group[-1]) + 1
             spans.append(one[at:start])
@@ -240,20 +264,30 @@ def canonical_digests(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return rows.mapInArrow(run, "row_key string, form binary, raw binary")
 
 
+def lookalike_classes(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(row_key, form, raw, members, links): one row per row that looks the same as another one of different characters.
+
+    form is the class (a digest of the consistent form), raw the spelling in it, members the number of rows of the class,
+    links how many of them are spelled differently.  A row delivered again (same key and text) counts
+    once.  Spellings are counted before classes are, so a group of exact copies, however large,
+    shuffles one partial row per task.  Null keys and texts give no rows; empty texts are ordinary texts.
+    """
+    rows = materialize(canonical_digests(df, key, text).distinct(), "digests")  # read twice below
+    spelled = rows.groupBy("form", "raw").agg(F.count("*").alias("n"))
+    classes = spelled.groupBy("form").agg(F.count("*").alias("spellings"), F.sum("n").alias("members")).where("spellings > 1")
+    spelled = spelled.join(classes, "form").select("form", "raw", "members", (F.col("members") - F.col("n")).alias("links"))
+    return salted_join(rows, spelled, ["form", "raw"]).select("row_key", "form", "raw", "members", "links")
+
+
 def lookalike_pairs(df: DataFrame, key: str, text: str = "text", salts: int = 16) -> DataFrame:
-    """(key_a, key_b): rows whose texts look the same but are not the same characters, key_a < key_b.
+    """(key_a, key_b): the links of lookalike_classes one by one, key_a < key_b.
 
-    A row delivered again (same key and text) counts once.  Groups of one form are found with a
-    combined minimum and maximum of the raw digests, so a group of exact copies, however large,
-    shuffles one partial row per task and is dropped before any pairing.  Pairs are then made
-    between the members of different texts only, with the members of a hot form spread over
-    salts.  Null keys and texts give no rows; empty texts are ordinary texts.
+    Members of one spelling are not paired.  The members of a class of over HOT_MEMBERS rows are spread over salts.
     """
-    rows = materialize(canonical_digests(df, key, text).distinct(), "digests")  # read four times below
-    mixed = rows.groupBy("form").agg(F.min("raw").alias("low"), F.max("raw").alias("high")).where("low <> high").select("form")
-    members = rows.join(mixed, "form", "left_semi")
-    left = members.withColumn("salt", F.pmod(F.xxhash64("row_key"), F.lit(salts)).cast("int"))
-    right = members.select("form", F.col("row_key").alias("key_b"), F.col("raw").alias("raw_b"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    members = materialize(lookalike_classes(df, key, text), "lookalikes")
+    spread = F.when(F.col("members") > HOT_MEMBERS, salts).otherwise(1)
+    left = members.withColumn("salt", F.pmod(F.xxhash64("row_key"), spread).cast("int"))
+    right = members.select("form", F.col("row_key").alias("key_b"), F.col("raw").alias("raw_b"), F.explode(F.sequence(F.lit(0), spread - 1)).alias("salt"))
     return (
         left.join(right, ["form", "salt"])
         .where((F.col("raw") != F.col("raw_b")) & (F.col("row_key") < F.col("key_b")))

@@ -23,6 +23,15 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that look the same as another of different characters, with their class and the number of such others."""
+    parts = [
+        canonical.lookalike_classes(read_table(spark, d, t).select(KEYS[t], "text"), KEYS[t]).select(F.lit(t).alias("tbl"), "row_key", F.lower(F.hex("form")).alias("class_id"), "links")
+        for t in ("page_documents", "text_chunks")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
 def p1_texts(spark: SparkSession, d: str) -> DataFrame:
     """Every page and chunk in the consistent form, once a row."""
     parts = [
@@ -113,7 +122,7 @@ def p8_kept(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_texts, p2_found, p2_pieces, p3_found, p3_texts, p4_found, p4_labels, p5_found, p5_pages, p6_packing, p6_fill, p7_found, p8_found, p8_kept)
+    f.__name__: f for f in (p1_found, p1_classes, p1_texts, p2_found, p2_pieces, p3_found, p3_texts, p4_found, p4_labels, p5_found, p5_pages, p6_packing, p6_fill, p7_found, p8_found, p8_kept)
 }
 ORACLE_SQL: dict[str, str] = {
     "p1_found": sql.p1_sql(),

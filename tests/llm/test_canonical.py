@@ -58,3 +58,24 @@ def test_texts_keep_rows_and_columns(spark):
     assert sorted((r.id, r.canonical) for r in c.canonical_texts(df).collect() if r.canonical is not None) == [(1, "a"), (3, "")]
     assert c.canonical_texts(df).count() == 4
     assert c.canonical_texts(df.limit(0)).count() == 0 and c.lookalike_pairs(df.limit(0).selectExpr("cast(id as string) AS key", "text"), "key").count() == 0
+
+
+def test_decomposed_and_composed_forms_are_one():
+    import unicodedata
+
+    for point in [*range(0x80, 0xD800), *range(0xF900, 0x1E000), *range(0x2F800, 0x2FA20)]:
+        char = chr(point)
+        parts = unicodedata.normalize("NFD", char)
+        if parts != char:
+            assert c.canonical_string(f"x{parts}y") == c.canonical_string(f"x{char}y"), hex(point)
+
+
+@pytest.mark.parametrize(("a", "b"), [("\u1100\u1161", "\uac00"), ("\uac00\u11a8", "\uac01"), ("\u09c7\u09be", "\u09cb"), ("ɡ", "g"), ("ν", "v"), ("Ӏ", "l")])
+def test_syllables_and_variants(a, b):
+    assert c.canonical_string(a) == c.canonical_string(b)
+
+
+def test_classes_count_the_links(spark):
+    df = spark.createDataFrame([("a", "x"), ("b", "ｘ"), ("c", "ｘ"), ("c", "ｘ"), ("d", "y"), ("e", None)], "key string, text string")
+    got = {r.row_key: (r.form, r.members, r.links) for r in c.lookalike_classes(df, "key").collect()}
+    assert {k: v[1:] for k, v in got.items()} == {"a": (3, 2), "b": (3, 1), "c": (3, 1)} and len({v[0] for v in got.values()}) == 1
