@@ -42,6 +42,8 @@ SAMPLE_PIECES = 2_000
 PIECE_CHARS = 60
 #: A template is a message of a kind from this posterior on.
 LEAST_POSTERIOR = 0.5
+#: One under this posterior cannot be one with others merged to it either.
+CANDIDATE = 0.2
 #: Longer runs of letters and figures are no words but data.
 BLOB_CHARS = 100
 #: A line stands alone if the other prose of its document has at most so many characters.
@@ -302,33 +304,45 @@ def salted_semi(rows: DataFrame, keys: DataFrame) -> DataFrame:
     return salted_join(rows, keys, ["key"], "left_semi")
 
 
-def classify_templates(lines: DataFrame, model: LineClassifier) -> DataFrame:
-    """(template, kind): templates that mostly stand alone, classified once each.
+def judged(templates: DataFrame, model: LineClassifier) -> DataFrame:
+    """templates with kind, the likeliest kind of message of each, and p, the posterior that it is a message, where that is CANDIDATE or more.
 
-    The counts of merged templates are added up; the sample of a merged template is its smallest
-    line, so the verdict is the same however the rows are partitioned.
+    A line with a slot is a form and no message.
     """
-    stats = lines.where("NOT slot").groupBy("path", "template").agg(F.sum("n").alias("n"), F.sum(F.col("alone").cast("int")).alias("alone"), F.min("line").alias("line")).where("alone > 0")
-    stats = materialize(stats, "residue-templates")
-    shared = stats.groupBy("path").agg(F.count("*").alias("members")).where("members > 1").select("path")  # leaves with one template have nothing to merge
-    merged = merge_leaves(salted_join(stats.select("path", "template", "line"), shared, ["path"], "left_semi"))
-    joined = stats.join(merged, "template", "left").withColumn("merged", F.coalesce("merged", "template"))
-    groups = joined.groupBy("merged").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.min("line").alias("line"))
-    picked = groups.where(F.col("alone") >= ALONE_PART * F.col("n")).select("merged", "line")
-    known = lines.sparkSession.sparkContext.broadcast(model)
+    known = templates.sparkSession.sparkContext.broadcast(model)
+    schema = "path long, template long, n long, alone long, line string, kind string, p double"
+    columns = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in cp.row_slices(batch, "line"):
-                one = parse_lines(*canonicalize(*cp.flatten(part.column(1))))
-                p = kinds_of(known.value, one)
-                best = p[:, MESSAGES:].argmax(1) + MESSAGES
-                slotted = np.array([SLOT.search(x) is not None for x in cp.unflatten(one.points, np.concatenate((one.start, one.end[-1:]))).to_pylist()], bool)
-                hit = np.flatnonzero(~slotted & (p[:, MESSAGES:].sum(1) >= LEAST_POSTERIOR))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(one.row[hit])), pa.array([KINDS[k] for k in best[hit]], pa.string())], names=["merged", "kind"])
-
-    verdicts = picked.mapInArrow(run, "merged long, kind string")
-    return joined.select("template", "merged").join(verdicts, "merged").select("template", "kind")
+                one = parse_lines(*canonicalize(*cp.flatten(part.column("line"))))
+                post = kinds_of(known.value, one)
+                best, p = post[:, MESSAGES:].argmax(1) + MESSAGES, post[:, MESSAGES:].sum(1)
+                hit = np.flatnonzero(p >= CANDIDATE)
+                texts = part.column("line").take(pa.array(one.row[hit])).to_pylist()
+                hit = hit[[SLOT.search(x) is None for x in texts]] if len(hit) else hit
+                kept = part.take(pa.array(one.row[hit]))
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in columns[:5]), pa.array([KINDS[k] for k in best[hit]], pa.string()), pa.array(p[hit])], names=columns)
+
+    return templates.select(*columns[:5]).mapInArrow(run, schema)
+
+
+def classify_templates(lines: DataFrame, model: LineClassifier) -> DataFrame:
+    """(template, kind): templates that mostly stand alone and are messages.
+
+    Every template is classified once, by its smallest line, so the verdict is the same however the rows are
+    partitioned.  Those that may be messages are merged within their leaves; the counts of
+    merged templates are added up, their posteriors averaged over the lines that stand alone.
+    """
+    stats = lines.where("NOT slot").groupBy("path", "template").agg(F.sum("n").alias("n"), F.sum(F.col("alone").cast("long")).alias("alone"), F.min("line").alias("line")).where("alone > 0")
+    stats = materialize(judged(stats, model), "residue-templates")
+    full = stats.groupBy("path").agg(F.count("*").alias("members")).where("members > 1").select("path")  # leaves with one template have nothing to merge
+    merged = merge_leaves(guarded_join(stats.select("path", "template", "line"), full, ["path"], "left_semi"))
+    joined = stats.join(merged, "template", "left").withColumn("merged", F.coalesce("merged", "template"))
+    groups = joined.groupBy("merged").agg(F.sum("n").alias("n"), F.sum("alone").alias("alone"), F.sum(F.col("p") * F.col("alone")).alias("p"), F.max_by("kind", F.struct("alone", "template")).alias("kind"))
+    picked = groups.where((F.col("alone") >= ALONE_PART * F.col("n")) & (F.col("p") >= LEAST_POSTERIOR * F.col("alone"))).select("merged", "kind")
+    return joined.select("template", "merged").join(picked, "merged").select("template", "kind")
 
 
 def find_residue(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
