@@ -76,23 +76,20 @@ def p4_labels(spark: SparkSession, d: str) -> DataFrame:
     return answers.label_defects(read_table(spark, d, "mistake_requests").select("request_id", "question", "content", "answer"))
 
 
-def _site_lines(spark: SparkSession, d: str) -> site_lines.SiteLines:
-    pages = read_table(spark, d, "page_documents").select("page_id", "source", "text", "ingested_at")
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines repeated excessively within their source, counted over three partitions by arrival."""
     index = site_lines.SiteLines(spark)
-    for part in site_lines.arrival_parts(pages):
+    for part in site_lines.arrival_parts(read_table(spark, d, "page_documents").select("page_id", "source", "text", "ingested_at")):
         index.merge(part)
-    return index
-
-
-def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Lines repeated excessively within their source, counted over two partitions by arrival."""
-    return _site_lines(spark, d).found()
+    return index.found()
 
 
 def p5_pages(spark: SparkSession, d: str) -> DataFrame:
-    """Every page without its repeated lines."""
-    pages = read_table(spark, d, "page_documents").select("page_id", "source", "text").distinct()
-    return site_lines.without_lines(pages, _site_lines(spark, d).found())
+    """Every page without its repeated lines, after three partitions by arrival of which each rebuilds only what it changes."""
+    clean = site_lines.CleanPages(site_lines.SiteLines(spark))
+    for part in site_lines.arrival_parts(read_table(spark, d, "page_documents").select("page_id", "source", "text", "ingested_at")):
+        clean.merge(part)
+    return clean.pages()
 
 
 def p6_packing(spark: SparkSession, d: str) -> DataFrame:

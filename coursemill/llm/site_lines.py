@@ -12,7 +12,7 @@ from __future__ import annotations
 import unicodedata
 import uuid
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -106,69 +106,134 @@ def line_rows(pages: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, LINE_SCHEMA).distinct()
 
 
+TABLES = {
+    "lines": "source string, page_id string, line_no int, line long, first boolean, bucket int",
+    "counts": "source string, line long, pages long, bucket int",
+    "totals": "source string, pages long, bucket int",
+    "repeated": "source string, line long, pages long, bucket int",
+}
+BUCKETS = 16
+
+
 class SiteLines:
     """The incremental line-count tables of all sources, in the shared folder.
 
-    merge(pages) takes the next partition.  Pages whose id was merged before are deliveries of
-    the same page and change nothing.  Pages with null ids are left out.
+    merge(pages) takes the next partition.  Pages whose id was merged before under the same source
+    are deliveries of the same page and change nothing.  Pages with null ids are left out.  The
+    tables are in buckets by source, and a merge reads and writes only the buckets of the sources of
+    its partition; the others stay as they are.  Lines of a partition are appended.
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int = BUCKETS) -> None:
         self.spark = spark
         self.path = path or f"{shared_dir(spark)}/site-lines-{uuid.uuid4().hex}"
+        self.buckets = buckets
         self.version = 0
-
-    def _table(self, name: str, version: int | None = None) -> DataFrame | None:
-        version = self.version if version is None else version
-        return self.spark.read.parquet(f"{self.path}/{name}/v{version}") if version else None
-
-    def lines(self) -> DataFrame:
+        #: By table and bucket: the versions that hold it now.
+        self.heads: dict[str, dict[int, list[int]]] = {name: {} for name in TABLES}
+
+    def _read(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        heads = self.heads[name]
+        paths = [f"{self.path}/{name}/v{v}/bucket={b}" for b in (heads if buckets is None else buckets) for v in heads.get(b, [])]
+        if not paths:
+            return self.spark.createDataFrame([], TABLES[name])
+        parts = [
+            self.spark.read.schema(TABLES[name]).option("basePath", f"{self.path}/{name}/v{v}").parquet(*[x for x in paths if f"/v{v}/" in x])
+            for v in sorted({v for b in (heads if buckets is None else buckets) for v in heads.get(b, [])})
+        ]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _write(self, name: str, rows: DataFrame, touched: list[int] | None = None) -> list[int]:
+        """Write a version of the touched buckets (all that rows have, appended to the others, where None)."""
+        at = f"{self.path}/{name}/v{self.version}"
+        rows.write.partitionBy("bucket").parquet(at)
+        # at most as many rows as there are buckets
+        filled = sorted(r.bucket for r in self.spark.read.schema(TABLES[name]).parquet(at).select("bucket").distinct().collect())
+        for b in filled if touched is None else touched:
+            self.heads[name][b] = [*(self.heads[name].get(b, []) if touched is None else []), *([self.version] if b in filled else [])]
+        return filled
+
+    def lines(self, buckets: list[int] | None = None) -> DataFrame:
         """All line rows merged so far."""
-        return self.spark.read.parquet(*[f"{self.path}/lines/v{v}" for v in range(1, self.version + 1)])
+        return self._read("lines", buckets)
 
     def repeated(self) -> DataFrame:
         """(source, line, pages): the lines at or over the threshold."""
-        return self._table("repeated")
+        return self._read("repeated").select("source", "line", "pages")
 
     def newly_crossed(self) -> DataFrame:
-        """(source, line): lines whose standing changed with the last merge."""
-        return self._table("crossed")
+        """(source, line, bucket): lines whose standing changed with the last merge."""
+        return self.spark.read.parquet(f"{self.path}/crossed/v{self.version}")
 
     def merge(self, pages: DataFrame) -> None:
         """Count a new partition, add it to the tables, and detect the lines that cross the threshold."""
-        rows = line_rows(pages)
-        counts, totals, repeated = (self._table(x) for x in ("counts", "totals", "repeated"))
-        if self.version:
-            known = self.lines().where("line_no = 0").select("page_id")
-            rows = rows.join(known, "page_id", "left_anti")
+        rows = line_rows(pages).withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(self.buckets)).cast("int"))
         self.version += 1
-        here = lambda name: f"{self.path}/{name}/v{self.version}"
-        rows.select("source", "page_id", "line_no", "line", "first").write.parquet(here("lines"))
-        rows = self.spark.read.parquet(here("lines"))
-        delta = rows.where("first").groupBy("source", "line").agg(F.count("*").alias("pages"))
-        new_totals = rows.where("line_no = 0").groupBy("source").agg(F.count("*").alias("pages"))
-        if counts is not None:
-            delta = counts.unionByName(delta).groupBy("source", "line").agg(F.sum("pages").alias("pages"))
-            new_totals = totals.unionByName(new_totals).groupBy("source").agg(F.sum("pages").alias("pages"))
-        delta.write.parquet(here("counts"))
-        new_totals.write.parquet(here("totals"))
-        now = guarded_join(
-            self._table("counts").where(F.col("pages") >= MIN_PAGES), self._table("totals").withColumnRenamed("pages", "of"), ["source"]
-        ).where(F.col("pages") * ONE_IN >= F.col("of"))
-        now.select("source", "line", "pages").write.parquet(here("repeated"))
-        now = self._table("repeated").select("source", "line")
-        changed = now if repeated is None else now.exceptAll(repeated.select("source", "line")).unionByName(repeated.select("source", "line").exceptAll(now))
-        changed.write.parquet(here("crossed"))
+        rows.write.partitionBy("bucket").parquet(f"{self.path}/given/v{self.version}")
+        given = rows = self.spark.read.schema(TABLES["lines"]).parquet(f"{self.path}/given/v{self.version}")
+        touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())  # at most as many as there are buckets
+        if any(b in self.heads["lines"] for b in touched):
+            known = self.lines(touched).where("line_no = 0").select("source", "page_id")
+            rows = rows.join(known, ["source", "page_id"], "left_anti").select(*given.columns)
+        before = self._read("repeated", touched).select("source", "line", "bucket")
+        self._write("lines", rows)
+        rows = self.spark.read.schema(TABLES["lines"]).parquet(f"{self.path}/lines/v{self.version}")
+        delta = rows.where("first").groupBy("bucket", "source", "line").agg(F.count("*").alias("pages"))
+        totals = rows.where("line_no = 0").groupBy("bucket", "source").agg(F.count("*").alias("pages"))
+        delta = self._read("counts", touched).unionByName(delta).groupBy("bucket", "source", "line").agg(F.sum("pages").alias("pages"))
+        totals = self._read("totals", touched).unionByName(totals).groupBy("bucket", "source").agg(F.sum("pages").alias("pages"))
+        self._write("counts", delta, touched)
+        self._write("totals", totals, touched)
+        of = self._read("totals", touched).select("source", F.col("pages").alias("of"))
+        now = guarded_join(self._read("counts", touched).where(F.col("pages") >= MIN_PAGES), of, ["source"]).where(F.col("pages") * ONE_IN >= F.col("of"))
+        self._write("repeated", now.select("source", "line", "pages", "bucket"), touched)
+        now = self._read("repeated", touched).select("source", "line", "bucket")
+        now.exceptAll(before).unionByName(before.exceptAll(now)).write.parquet(f"{self.path}/crossed/v{self.version}")
 
     def found(self) -> DataFrame:
         """(page_id, line_no) of every repeated line."""
         rows = self.lines().where("line_no > 0").select("source", "page_id", "line_no", "line")
         return guarded_join(rows, self.repeated().select("source", "line"), ["source", "line"], "left_semi").select("page_id", "line_no")
 
+    def _crossed_lines(self) -> DataFrame:
+        """The lines merged so far in the buckets of lines whose standing changed with the last merge."""
+        return self.lines(sorted(r.bucket for r in self.newly_crossed().select("bucket").distinct().collect()))  # at most as many as there are buckets
+
     def to_rebuild(self) -> DataFrame:
         """(page_id) of the pages that hold a line whose standing changed with the last merge."""
-        rows = self.lines().where("first").select("source", "page_id", "line")
-        return guarded_join(rows, self.newly_crossed(), ["source", "line"], "left_semi").select("page_id").distinct()
+        rows = self._crossed_lines().where("first").select("source", "page_id", "line")
+        return guarded_join(rows, self.newly_crossed().select("source", "line"), ["source", "line"], "left_semi").select("page_id").distinct()
+
+
+class CleanPages:
+    """Pages without the repeated lines of their source, kept up to date partition by partition.
+
+    A merge builds the new pages, and of the older ones only those that hold a line whose standing
+    changed; the others stay as they were built.
+    """
+
+    def __init__(self, index: SiteLines) -> None:
+        self.index = index
+
+    def merge(self, pages: DataFrame) -> None:
+        """pages has page_id, source, text; a page delivered again changes nothing."""
+        index, spark = self.index, self.index.spark
+        index.merge(pages)
+        version = index.version
+        new = spark.read.schema(TABLES["lines"]).parquet(f"{index.path}/lines/v{version}").where("line_no = 0").select("page_id").distinct()
+        texts = pages.select(F.col("page_id").cast("string").alias("page_id"), "source", "text").dropDuplicates(["page_id"]).join(new, "page_id", "left_semi")
+        texts.write.parquet(f"{index.path}/texts/v{version}")
+        old = index.to_rebuild().join(new, "page_id", "left_anti")
+        texts = spark.read.parquet(*[f"{index.path}/texts/v{v}" for v in range(1, version + 1)])
+        due = texts.join(old.unionByName(new), "page_id", "left_semi")
+        drop = index.found().join(old.unionByName(new), "page_id", "left_semi")
+        without_lines(due, drop).withColumn("built", F.lit(version)).write.parquet(f"{index.path}/built/v{version}")
+
+    def pages(self) -> DataFrame:
+        """(page_id, source, text, removed_lines): every page as it was built last."""
+        built = self.index.spark.read.parquet(*[f"{self.index.path}/built/v{v}" for v in range(1, self.index.version + 1)])
+        last = built.groupBy("page_id").agg(F.max("built").alias("built"))
+        return built.join(last, ["page_id", "built"], "left_semi").drop("built")
 
 
 def without_lines(pages: DataFrame, found: DataFrame) -> DataFrame:
@@ -183,7 +248,7 @@ def without_lines(pages: DataFrame, found: DataFrame) -> DataFrame:
     return joined.withColumn("text", text).withColumn("removed_lines", F.coalesce(F.size("_drop"), F.lit(0))).drop("_page", "_drop")
 
 
-def arrival_parts(pages: DataFrame, arrival: str = "ingested_at", parts: int = 2) -> list[DataFrame]:
+def arrival_parts(pages: DataFrame, arrival: str = "ingested_at", parts: int = 3) -> list[DataFrame]:
     """pages cut into parts by time of arrival, at equal steps between the first and the last; null arrivals go first."""
     low, high = pages.agg(F.min(F.unix_micros(arrival)), F.max(F.unix_micros(arrival))).first()
     if low is None or low == high:

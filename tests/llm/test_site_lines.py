@@ -70,3 +70,25 @@ def test_empty_table(spark):
     index = s.SiteLines(spark)
     index.merge(spark.createDataFrame([], "page_id string, source string, text string"))
     assert index.found().count() == 0
+
+
+def test_pages_built_in_parts_are_those_built_at_once(spark):
+    rows = pages()
+    df = spark.createDataFrame(rows, "page_id string, source string, text string")
+    clean = s.CleanPages(s.SiteLines(spark, buckets=4))
+    for part in df.randomSplit([0.4, 0.3, 0.3], seed=2):
+        clean.merge(part)
+    clean.merge(df.limit(5))  # delivered again
+    drop = brute(rows)
+    want = {p: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n"), 1) if (p, n) not in drop) for p, _, t in rows if p}
+    got = clean.pages().collect()
+    assert len(got) == len(want) and {r.page_id: r.text for r in got} == want
+
+
+def test_a_merge_leaves_other_buckets_alone(spark):
+    schema = "page_id string, source string, text string"
+    index = s.SiteLines(spark, buckets=8)
+    index.merge(spark.createDataFrame([(f"a{i}", f"s{i % 5}", "notice") for i in range(30)], schema))
+    heads = {b: list(v) for b, v in index.heads["counts"].items()}
+    index.merge(spark.createDataFrame([("b", "s1", "notice")], schema))
+    assert len(heads) > 1 and sum(index.heads["counts"][b] != v for b, v in heads.items()) == 1
