@@ -40,6 +40,11 @@ SAMPLE_ROWS = 3_000
 #: A confusion is learned from at least so many different words or places, in which what is right is so many times as frequent.
 SUPPORT = 4
 RARER = 24
+#: Misread variants of each word, and edits of ideographs, to train on.
+VARIANTS = 4
+EXAMPLES = 60_000
+#: How much rarer, in powers of two, misread variants and different words are taken to be than what they resemble.
+MISREAD_RARER, WORD_RARER = (4.3, 13.0), (-1.0, 3.5)
 #: A word that was seen less often is no repair of another.
 LEAST_EVIDENCE = 4
 #: Two rows of 2 ** TABLE_BITS counters: the size of the count table, whatever the corpus.
@@ -276,8 +281,10 @@ def _holes(word: str) -> Iterator[tuple[str, str]]:
 
 
 def _kept(rare: dict[tuple[str, str], set], both: dict[tuple[str, str], set], known: Iterable[tuple[str, str]]) -> list[tuple[str, str]]:
-    """The edits that several words support, and that seldom lead from one ordinary word to another."""
-    return sorted(pair for pair, at in rare.items() if pair not in known and len(at) >= SUPPORT and len(at) > 2 * len(both.get(pair, ())))
+    """The edits that several words support, and that seldom lead from one ordinary word to another; where the sign has a known truth, more must."""
+    taken = {seen for seen, _ in known}
+    good = {pair: len(at) for pair, at in rare.items() if len(at) >= SUPPORT * (4 if pair[0] in taken else 1) and len(at) > 2 * len(both.get(pair, ()))}
+    return sorted(pair for pair in good if pair not in known)
 
 
 def learn_latin(words: Iterable[str], counts: Counts) -> list[tuple[str, str]]:
@@ -574,7 +581,10 @@ def train_editor(sample: pd.DataFrame, counts: Counts, seed: int = 11) -> Editor
         # ideographs: the text as it is, and with one put wrong
         at, follows = joined_ideographs(p)
         chars = p.points[at].tolist()
+        signs = len(edits)
         for i in range(2, len(chars) - 2):
+            if signs >= EXAMPLES or (chars[i] not in reverse and chars[i] not in confusions.ideographs):
+                continue
             spans = [s for s in range(i - 2, i + 1) if follows[s + 1] and follows[s + 2]]
             if not spans:
                 continue
@@ -622,12 +632,14 @@ def train_editor(sample: pd.DataFrame, counts: Counts, seed: int = 11) -> Editor
         mine = counts.word(word)
         if mine < 8 or not word.isalpha():
             continue
-        noisy = _noisy_word(word, rng, confusions.latin)
-        if noisy:
+        for noisy in dict.fromkeys(filter(None, (_noisy_word(word, rng, confusions.latin) for _ in range(VARIANTS)))):
             seen_count = counts.word(noisy[0])
             if seen_count * 8 < mine:
                 features, op = word_features(noisy[0], word, noisy[1], noisy[2], seen_count, mine)
                 edits.append((features, (KEEP, op), op))
+                for low, high, right in ((*MISREAD_RARER, op), (*WORD_RARER, KEEP)):  # as if it were a misreading at some rate, or a word of its own
+                    features, _ = word_features(noisy[0], word, noisy[1], noisy[2], int(mine / 2 ** rng.uniform(low, high)), mine)
+                    edits.append((features, (KEEP, op), right))
         found = best_word(word, counts, confusions.latin)
         if found and found[3] * 24 >= found[4]:  # a frequent word that resembles a more frequent one
             features, op = word_features(word, *found)
