@@ -8,8 +8,10 @@ pairs that meet are verified: weighted shingles of the passage must be contained
 item, and an alignment must find a continuous passage of at least half the item with at
 most one word in ten altered and every figure and device code unchanged.
 
-Nothing of the corpus is shuffled or collected; the index of a block of items (at most
-ITEM_BLOCK, checked) is broadcast, and more items are taken block by block.
+Pairs that meet beyond RADIUS bits (up to ACCEPT) are looked at too, without a guarantee.
+
+Nothing of the corpus is shuffled or collected; indexes of blocks of ITEM_BLOCK items are
+broadcast, BLOCKS_A_PASS blocks for each pass over the corpus.
 """
 
 from __future__ import annotations
@@ -18,12 +20,14 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from coursemill.functions import codepoints as cp
 from coursemill.llm.tokens import FIGURE, LETTER, Tokens, tokenize
@@ -41,6 +45,8 @@ SHINGLE = 3
 #: The least part of the weight of an item's shingles that the passage must share, before the alignment.
 SHINGLE_SHARE = 0.25
 ITEM_BLOCK = 2_000
+#: The indexes of so many blocks (some 50 MB each) are held by a worker at once.
+BLOCKS_A_PASS = 16
 
 
 def _add(a: list[np.ndarray], b: list[np.ndarray]) -> list[np.ndarray]:
@@ -308,30 +314,37 @@ def find_leaks(corpus: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
     """(key, item_key): the corpus rows that carry an item, wholly or at least half of it.
 
     Null and empty texts carry nothing; an item without letters or figures is in nothing.
-    Items are collected in blocks of at most block rows (their number is checked first), each
-    block is one pass over the corpus.  Other columns are not read.
+    Items reach the driver in blocks of block rows, one after the other; the indexes of BLOCKS_A_PASS
+    blocks are broadcast and met in one pass over the corpus, which is read and cut into tokens
+    once for all of them.  Other columns are not read.
     """
     spark = corpus.sparkSession
     listed = items.select(F.col(item_key).alias("k"), F.col(text).alias("t")).where("t IS NOT NULL").distinct()
-    parts = max(1, -(-listed.count() // block))
-    listed = listed.withColumn("part", F.pmod(F.xxhash64("k"), F.lit(parts)))
     schema = f"{key} {corpus.schema[key].dataType.simpleString()}, {item_key} {items.schema[item_key].dataType.simpleString()}"
     rows = corpus.select(F.col(key).alias(key), F.col(text).alias("text")).where("text IS NOT NULL")
-    results = []
-    for part in range(parts):
-        prepared = make_items([(r.k, r.t) for r in listed.where(F.col("part") == part).orderBy("k").toLocalIterator()])
-        shared = spark.sparkContext.broadcast((prepared, make_indexes(prepared)))
+    out_schema = to_arrow_schema(spark.createDataFrame([], schema).schema)
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            known, indexes = shared.value
+    def one_pass(blocks: list) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for piece in cp.row_slices(batch, "text"):
-                    found = leaks(tokenize(*cp.flatten(piece.column(1))), known, indexes)
-                    names = pd.DataFrame({key: piece.column(0).take(pa.array([r for r, _ in found], pa.int64())).to_pandas(), item_key: [known[i].key for _, i in found]})
-                    yield pa.RecordBatch.from_pandas(names, schema=out_schema, preserve_index=False)
-
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        out_schema = to_arrow_schema(spark.createDataFrame([], schema).schema)
-        results.append(rows.mapInArrow(run, schema))
+                    tokens = tokenize(*cp.flatten(piece.column(1)))
+                    for shared in blocks:
+                        known, indexes = shared.value
+                        found = leaks(tokens, known, indexes)
+                        names = pd.DataFrame({key: piece.column(0).take(pa.array([r for r, _ in found], pa.int64())).to_pandas(), item_key: [known[i].key for _, i in found]})
+                        yield pa.RecordBatch.from_pandas(names, schema=out_schema, preserve_index=False)
+
+        return rows.mapInArrow(run, schema)
+
+    results, blocks = [], []
+    ordered = ((r.k, r.t) for r in listed.orderBy("k", "t").toLocalIterator())
+    while part := list(islice(ordered, block)):
+        prepared = make_items(part)
+        blocks.append(spark.sparkContext.broadcast((prepared, make_indexes(prepared))))
+        if len(blocks) == BLOCKS_A_PASS:
+            results.append(one_pass(blocks))
+            blocks = []
+    if blocks or not results:
+        results.append(one_pass(blocks))
     return reduce(DataFrame.unionByName, results).distinct()

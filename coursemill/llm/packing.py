@@ -25,7 +25,7 @@ from coursemill.session import materialize
 
 #: A public tokenizer's ranks; the path is a parameter of every entry point.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: How that tokenizer cuts a text into words.
+#: How that tokenizer cuts a text into words.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Combinations may leave so small a part of the capacity unused.
 WINDOW = 0.002
@@ -49,9 +49,9 @@ def token_counts(df: DataFrame, key: str = "doc_id", text: str = "text", path: s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        pid, count = TaskContext.get().partitionId(), encoder(path).encode_ordinary
+        pid, count = TaskContext.get().partitionId(), encoder(path).encode_ordinary_batch
         for batch in batches:
-            yield pd.DataFrame({key: batch[key], "n_tokens": [len(count(x)) for x in batch["text"]], "pid": pid})
+            yield pd.DataFrame({key: batch[key], "n_tokens": [len(x) for x in count(batch["text"].tolist(), num_threads=1)], "pid": pid})
 
     rows = df.select(F.col(key).alias(key), F.coalesce(text, F.lit("")).alias("text"))
     return rows.mapInPandas(run, f"{key} {df.schema[key].dataType.simpleString()}, n_tokens int, pid int")
@@ -113,7 +113,7 @@ def combinations(sizes: np.ndarray, room: int, window: float = WINDOW, partners:
             found.add((a,))
             continue
         times = room // a
-        if a * times >= least and times <= 8:
+        if a * times >= least:
             found.add((a,) * times)
         b = fit(room - a)
         if b is not None and a + b >= least:
