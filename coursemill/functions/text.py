@@ -5,8 +5,9 @@ All are built-in expressions that stay in generated code; null in, null out unle
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,6 +24,11 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of value, with value computed once a row however often body uses it (the planner would repeat a plain expression)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def tokens(text: Column | str) -> Column:
     """Lower-case tokens in order; null gives an empty array."""
     return F.regexp_extract_all(F.lower(F.coalesce(_c(text), F.lit(""))), F.lit(TOKEN), F.lit(0))
@@ -52,11 +58,8 @@ def normalize_line(line: Column | str, profile: str = "cjk") -> Column:
 
 def is_line_noise(line: Column | str) -> Column:
     """Empty lines, bare page numbers, advertisements, and lines with undecodable characters."""
-    c = _c(line)
-    noise = (F.length(c) == 0) | c.rlike(r"^[-—·•~\[\] ]*[0-9]{1,4}[-—·•~\[\] ]*$") | (F.regexp_count(c, F.lit("�")) > 1)
-    for part in ADVERTS:
-        noise = noise | F.contains(F.lower(c), F.lit(part))
-    return noise
+    adverts = "|".join(re.escape(part) for part in ADVERTS)
+    return _c(line).rlike(rf"(?i)^$|^[-—·•~\[\] ]*[0-9]{{1,4}}[-—·•~\[\] ]*$|�[^\n]*�|{adverts}")
 
 
 def chapter_marker(text: Column | str) -> Column:
@@ -88,10 +91,10 @@ def split_tags(text: Column | str) -> Column:
 
 def contained(names: list[str], text: Column | str, limit: int = 12) -> Column:
     """The names that stand in text, in the order of the list, at most limit."""
-    hay = F.lower(F.coalesce(_c(text), F.lit("")))  # one subexpression, evaluated once a row
     if not names:
         return F.array().cast("array<string>")
-    return F.slice(F.array_compact(F.array(*[F.when(F.contains(hay, F.lit(n.lower())), F.lit(n)) for n in names])), 1, limit)
+    found = lambda hay: F.array_compact(F.array(*[F.when(F.contains(hay, F.lit(n.lower())), F.lit(n)) for n in names]))
+    return F.slice(let(F.lower(F.coalesce(_c(text), F.lit(""))), found), 1, limit)
 
 
 def overlap(query: Column | str, other: Column | str) -> Column:

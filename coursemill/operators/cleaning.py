@@ -20,8 +20,13 @@ PARAGRAPH = 260
 
 def page_lines(pages: DataFrame, profile: str = "cjk") -> DataFrame:
     """(page_id, source, line_no, line): the normalised lines of every page, from 1; null texts have none."""
-    rows = pages.where("text IS NOT NULL").select("page_id", "source", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
-    return rows.select("page_id", "source", (F.col("at") + 1).cast("bigint").alias("line_no"), T.normalize_line("raw", profile).alias("line"))
+    rows = pages.where("text IS NOT NULL").select("page_id", "source", F.posexplode(normalized_lines(profile)).alias("at", "line"))
+    return rows.select("page_id", "source", (F.col("at") + 1).cast("bigint").alias("line_no"), "line")
+
+
+def normalized_lines(profile: str = "cjk") -> Column:
+    """The normalised lines of the column text as an array, so that what is asked of a line later does not normalise it again."""
+    return F.transform(F.split("text", "\n", -1), lambda line: T.normalize_line(line, profile))
 
 
 def composed(pages: DataFrame) -> DataFrame:
@@ -34,11 +39,10 @@ def edge_noise(pages: DataFrame) -> DataFrame:
 
     A line counts once for each edge, so on a short page it counts twice.
     """
-    lines = page_lines(pages).where("line <> ''")
-    up, down = Window.partitionBy("page_id").orderBy("line_no"), Window.partitionBy("page_id").orderBy(F.desc("line_no"))
-    placed = lines.withColumn("a", F.row_number().over(up)).withColumn("z", F.row_number().over(down))
-    weight = (F.col("a") <= EDGE_LINES).cast("bigint") + (F.col("z") <= EDGE_LINES).cast("bigint")
-    counted = placed.where(F.length("line") <= EDGE_LENGTH).groupBy("source", "line").agg(F.sum(weight).alias("n")).where("n > 0")
+    both = lambda x: F.concat(F.slice(x, 1, EDGE_LINES), F.slice(F.reverse(x), 1, EDGE_LINES))
+    edges = T.let(F.filter(normalized_lines(), lambda x: x != ""), both)
+    lines = pages.where("text IS NOT NULL").select("source", F.explode(edges).alias("line"))
+    counted = lines.where(F.length("line") <= EDGE_LENGTH).groupBy("source", "line").agg(F.count("*").alias("n"))
     pages_of = pages.groupBy("source").agg(F.countDistinct("page_id").alias("pages"))
     least = F.greatest(F.lit(EDGE_LEAST), F.floor(F.col("pages") * EDGE_PART))
     return guarded_join(counted, pages_of, ["source"]).where(F.col("n") >= least).select("source", "line", "n")

@@ -7,22 +7,24 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side is broadcast only when it was counted and has at most so many rows.
+#: A side is broadcast only when it was counted and has at most so many rows and bytes.
 BROADCAST_ROWS = 50_000
+BROADCAST_BYTES = 64 << 20
 SALTS = 16
 
 
 def guarded_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", limit: int = BROADCAST_ROWS, salts: int = SALTS) -> DataFrame:
     """left joined with right, which is broadcast if it has at most limit rows and else shuffled with salts.
 
-    The right side is read up to limit + 1 rows; within the limit these rows are what is broadcast,
-    so it is computed once.  With salts, each right row is repeated
+    Rows and bytes of the right side are counted first; it is read only if it has at most limit rows and
+    BROADCAST_BYTES in all, so nothing larger passes the driver.  With salts, each right row is repeated
     once per salt and the left rows of one key are spread over the salts, so no key is met by a
     single task.  how is inner, left, left_semi or left_anti.  Null keys match nothing.
     """
-    rows = right.limit(limit + 1).toArrow()
-    if rows.num_rows <= limit:
-        return left.join(F.broadcast(right.sparkSession.createDataFrame(rows, right.schema)), on, how)
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in right.columns), F.lit(0))
+    number, size = right.agg(F.count("*"), F.sum(width)).first()
+    if number <= limit and (size or 0) <= BROADCAST_BYTES:
+        return left.join(F.broadcast(right.sparkSession.createDataFrame(right.toArrow(), right.schema)), on, how)
     return salted_join(left, right, on, how, salts)
 
 

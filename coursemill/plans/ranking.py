@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coursemill.functions import text as T
 from coursemill.operators import chunking, fuzzy, search
+from coursemill.operators.joins import guarded_join
 from coursemill.plans import tables as t
 from coursemill.plans.registry import query
 from coursemill.session import read_table
@@ -105,47 +106,86 @@ def graph_theta_match(spark: SparkSession, d: str) -> DataFrame:
     return search.graph_matches(mentions.select("name").distinct(), mentions, t.asked(spark, d), "query_id")
 
 
-@query(
-    f"""WITH {t.QUESTIONS}, {t.CHUNK_TEXTS}, shown AS (SELECT * FROM ct WHERE doc_type IS NULL OR doc_type <> 'question'), {_bm25("shown", "id", "words")}, {_OVERLAP}, {t.MENTIONS}, {_GRAPH},
-    nb AS (SELECT query_id, key AS id, CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN CASE WHEN max(score) OVER w > 0 THEN 1.0 ELSE 0.0 END
-           ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM scores WINDOW w AS (PARTITION BY query_id)),
-    u AS (SELECT query_id, id, 0.24::DOUBLE * s AS s FROM nb UNION ALL SELECT query_id, id, 0.08::DOUBLE * words FROM ov WHERE words > 0 UNION ALL SELECT query_id, id, 0.08::DOUBLE * tags FROM ov WHERE tags > 0
-          UNION ALL SELECT query_id, chunk_id, 0.10::DOUBLE FROM gm),
-    f AS (SELECT query_id, id, round(sum(s), 4) AS score FROM u GROUP BY query_id, id)
-    SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 6"""
-)
-def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
-    """The best chunks for each question by BM25, word and tag overlap and graph evidence together."""
+# The tables hold no vectors of chunks: each chunk takes those of two rows of embeddings by parts of its id, and each question two by its own.
+# Every second question comes with a picture.
+
+_NORM = "CASE WHEN max(score) OVER w - min(score) OVER w < 1e-12 THEN CASE WHEN max(score) OVER w > 0 THEN 1.0 ELSE 0.0 END ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END"
+_SUM = lambda weights, image: " + ".join(f"{weights[n]}::DOUBLE * {c}" for n, c in (("vector", "vector"), ("bm25", "bm25"), ("token_overlap", "words"), ("tag_overlap", "tags"), ("graph", "graph"), ("cross", "crossed"), ("image", image)))
+_HYBRID = f"""
+    {t.QUESTIONS}, {t.CHUNK_TEXTS}, shown AS (SELECT * FROM ct WHERE doc_type IS NULL OR doc_type <> 'question'), {_bm25("shown", "id", "words")}, {t.MENTIONS}, {_GRAPH},
+    size AS (SELECT count(*) AS size FROM embeddings), kinds AS (SELECT DISTINCT id, element_type FROM text_chunks),
+    placed AS (SELECT id, ('0x' || substr(id, 1, 6))::BIGINT % size AS vec, ('0x' || substr(id, 7, 6))::BIGINT % size AS pic, element_type IN ('circuit', 'image') AS drawn FROM shown JOIN kinds USING (id), size),
+    qv AS (SELECT query_id, query_id % size AS vec, (query_id + 1) % size AS pic, query_id % 100 = 0 AS pictured FROM q, size),
+    vec AS (SELECT query_id, id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM placed p JOIN embeddings a ON a.vec_id = p.vec, qv JOIN embeddings b ON b.vec_id = qv.vec
+            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 24),
+    img AS (SELECT query_id, id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM placed p JOIN embeddings a ON a.vec_id = p.pic, qv JOIN embeddings b ON b.vec_id = qv.vec WHERE p.drawn
+            QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 24),
+    vis AS (SELECT query_id, id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM placed p JOIN embeddings a ON a.vec_id = p.pic, qv JOIN embeddings b ON b.vec_id = qv.pic WHERE p.drawn AND qv.pictured
+            QUALIFY score >= 0.7 AND row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 24),
+    bm AS (SELECT query_id, key AS id, score FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, key) <= 24),
+    u AS (SELECT query_id, id, 'vector' AS signal, score AS raw, {_NORM} AS value FROM vec WINDOW w AS (PARTITION BY query_id) UNION ALL
+          SELECT query_id, id, 'bm25', score, {_NORM} FROM bm WINDOW w AS (PARTITION BY query_id) UNION ALL SELECT query_id, id, 'image', score, {_NORM} FROM img WINDOW w AS (PARTITION BY query_id) UNION ALL
+          SELECT query_id, id, 'visual', score, {_NORM} FROM vis WINDOW w AS (PARTITION BY query_id) UNION ALL SELECT query_id, chunk_id, 'graph', 1.0, 1.0 FROM gm),
+    cand AS (SELECT query_id, id, coalesce(max(value) FILTER (signal = 'vector'), 0) AS vector, coalesce(max(value) FILTER (signal = 'bm25'), 0) AS bm25, coalesce(max(value) FILTER (signal = 'graph'), 0) AS graph,
+          coalesce(max(value) FILTER (signal = 'image'), 0) AS image, max(raw) FILTER (signal = 'visual') AS seen, coalesce(max(value) FILTER (signal = 'visual'), 0) AS visual FROM u GROUP BY query_id, id),
+    tk AS (SELECT cand.*, list_distinct({_TOKENS.format("query")}) AS qt, list_distinct({_TOKENS.format("words")}) AS wt, list_distinct({_TOKENS.format("tags")}) AS gt FROM cand JOIN shown USING (id) JOIN q USING (query_id)),
+    x AS (SELECT *, len(list_intersect(qt, wt)) / greatest(1, len(qt)) AS words, len(list_intersect(qt, gt)) / greatest(1, len(qt)) AS tags, round(len(list_intersect(qt, wt)) / greatest(1, len(list_distinct(qt || wt))), 6) AS score FROM tk),
+    y AS (SELECT *, {_NORM} AS crossed, count(seen) OVER w > 0 AS pictured, row_number() OVER (PARTITION BY query_id ORDER BY seen DESC NULLS LAST, id) AS place FROM x WINDOW w AS (PARTITION BY query_id)),
+    z AS (SELECT query_id, id, round(CASE WHEN pictured THEN {_SUM(search.IMAGE_WEIGHTS, "visual")} ELSE {_SUM(search.WEIGHTS, "image")} END, 4) AS score, CASE WHEN seen IS NOT NULL AND place <= 2 THEN place ELSE 3 END AS pin FROM y)"""
+
+
+def jaccard(query: Column, words: Column) -> Column:
+    """Common part of the distinct tokens of two texts: the scorer that stands in for a cross-encoder."""
+    return T.let(T.tokens(words), lambda w: F.size(F.array_intersect(T.tokens(query), w)) / F.greatest(F.lit(1), F.size(F.array_union(T.tokens(query), w))))
+
+
+def _hybrid(spark: SparkSession, d: str) -> DataFrame:
     from coursemill.operators import graph
 
     rows, asked = t.chunk_texts(spark, d).where("doc_type IS NULL OR doc_type <> 'question'"), t.questions(spark, d)
+    vectors = read_table(spark, d, "embeddings").select("vec_id", "embedding")
+    size = vectors.count()
+    part = lambda at: (F.conv(F.substring("id", at, 6), 16, 10).cast("bigint") % size).alias("vec_id")
+    chunks = t.chunks(spark, d).select("id", "element_type")
+    with_vector = chunks.select("id", part(1)).join(vectors, "vec_id").select("id", "embedding")
+    with_picture = chunks.where("element_type IN ('circuit', 'image')").select("id", part(7)).join(vectors, "vec_id").select("id", "embedding")
+    of = lambda step: asked.select("query_id", ((F.col("query_id") + step) % size).alias("vec_id")).join(vectors, "vec_id").select("query_id", "embedding")
+    most = search.candidates(6)
     mentions = graph.mentions(t.chunks(spark, d))
+    nearest = lambda have, want: search.vector_topk(have, want, k=most, key="id")
     signals = {
-        "bm25": search.bm25_scores(rows, asked, "id", "query_id", text="words").withColumn("score", F.round("score", 4)),
-        "token_overlap": search.overlaps(rows, asked, "id", "query_id", T.tokens("words"), T.tokens("query")),
-        "tag_overlap": search.overlaps(rows, asked, "id", "query_id", T.tokens("tags"), T.tokens("query")),
+        "vector": nearest(with_vector, of(0)),
+        "bm25": search.bm25_topk(rows, asked, "id", "query_id", k=most, text="words"),
         "graph": search.graph_matches(mentions.select("name").distinct(), mentions, asked, "query_id").select("query_id", F.col("chunk_id").alias("id"), F.lit(1.0).alias("score")),
+        "image": nearest(with_picture, of(0)),
+        "visual": nearest(with_picture, of(1).where("query_id % 100 = 0")).where(F.col("score") >= search.VISUAL_LEAST),
     }
-    fused = search.fuse(signals, "query_id", "id").withColumn("score", F.round("score", 4))
-    return search.top_k(fused, "query_id", [F.desc("score"), F.asc("id")], 6).select("query_id", "id", "score", F.col("rank").cast("bigint").alias("rank"))
+    return search.hybrid(rows, asked, signals, "id", "query_id", jaccard)
+
+
+@query(f"WITH {_HYBRID} SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY pin, score DESC, id) AS rank FROM z QUALIFY rank <= 6")
+def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
+    """The best chunks for each question by all seven signals: vectors, BM25, word and tag overlap, graph, cross scores and images."""
+    return _hybrid(spark, d)
+
+
+_WORDS = _bm25("documents", "doc_id", "text")
 
 
 @query(
-    f"""WITH {_COSINE}, img AS (SELECT label AS query_id, cos.vec_id, max(round(score, 6)) AS score FROM cos JOIN embeddings e ON e.vec_id = cos.query_id GROUP BY label, cos.vec_id),
+    f"""WITH {_COSINE}, {t.QUESTIONS}, {_WORDS}, img AS (SELECT 1000 + 50 * label AS query_id, cos.vec_id, max(round(score, 6)) AS score FROM cos JOIN embeddings e ON e.vec_id = cos.query_id GROUP BY label, cos.vec_id),
     pin AS (SELECT query_id, vec_id, score, 0 AS lane FROM img WHERE score >= 0.7 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 2),
-    txt AS (SELECT DISTINCT q.label AS query_id, e.vec_id, round(abs(e.embedding[1]::DOUBLE), 6) AS score FROM embeddings e, (SELECT DISTINCT label FROM embeddings WHERE vec_id % 50 = 0) q),
-    u AS (SELECT * FROM pin UNION ALL SELECT query_id, vec_id, score, 1 FROM txt WHERE (query_id, vec_id) NOT IN (SELECT query_id, vec_id FROM pin))
+    u AS (SELECT * FROM pin UNION ALL SELECT query_id, key, score, 1 FROM scores WHERE (query_id, key) NOT IN (SELECT query_id, vec_id FROM pin))
     SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY lane, score DESC, vec_id) AS rank FROM u QUALIFY rank <= 6"""
 )
 def visual_lane(spark: SparkSession, d: str) -> DataFrame:
-    """Up to two alike images first, then other results; the images of one label are asked together."""
+    """Up to two alike images first, then the documents that match the question best; the images of one label are asked together, with the question of that number."""
     vectors = read_table(spark, d, "embeddings")
-    labels = vectors.select(F.col("vec_id").alias("image"), F.col("label").alias("query_id"))
-    pairs = search.cosine_pairs(vectors.select("vec_id", "embedding"), _vector_queries(spark, d).withColumnRenamed("query_id", "image"), query_key="image")
-    scores = pairs.join(F.broadcast(labels.where(F.col("image") % t.EVERY == 0)), "image").select("query_id", "vec_id", F.round("score", 6).alias("score"))
-    asked = labels.where(F.col("image") % t.EVERY == 0).select("query_id").distinct()
-    text = vectors.select("vec_id", F.round(F.abs(F.col("embedding")[0].cast("double")), 6).alias("score")).crossJoin(F.broadcast(asked))
-    return search.visual_lane(scores, text.select("query_id", "vec_id", "score"), "query_id", "vec_id")
+    labels = vectors.where(F.col("vec_id") % t.EVERY == 0).select(F.col("vec_id").alias("image"), (1000 + 50 * F.col("label")).cast("bigint").alias("query_id"))
+    pairs = search.cosine_pairs(vectors.select("vec_id", "embedding"), _vector_queries(spark, d).withColumnRenamed("query_id", "image"), query_key="image", least=search.VISUAL_LEAST)
+    scores = guarded_join(pairs, labels, ["image"]).select("query_id", "vec_id", "score")
+    text = search.bm25_topk(read_table(spark, d, "documents").select("doc_id", "text"), t.questions(spark, d), "doc_id", "query_id", k=6 + search.VISUAL_PINS)
+    return search.visual_lane(scores, text.select("query_id", F.col("doc_id").alias("vec_id"), "score"), "query_id", "vec_id")
 
 
 @query()

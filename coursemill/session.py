@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -36,9 +37,11 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, **conf: str) -> S
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, else (tests) a local one that is set here."""
+    """The folder all executors share: spark.checkpoint.dir of the session, else, on a local master only, a local one that is set here."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = getattr(spark, "_coursemill_shared", None)
         if path is None:
             path = "file://" + tempfile.mkdtemp(prefix="coursemill-")
