@@ -167,14 +167,13 @@ class SiteLines:
 
     def merge(self, pages: DataFrame) -> None:
         """Count a new partition, add it to the tables, and detect the lines that cross the threshold."""
-        rows = line_rows(pages).withColumn("bucket", F.pmod(F.xxhash64("source"), F.lit(self.buckets)).cast("int"))
+        bucket = F.pmod(F.xxhash64(F.coalesce(F.col("source"), F.lit(""))), F.lit(self.buckets)).cast("int")
+        touched = sorted(r.bucket for r in pages.where("page_id IS NOT NULL").select(bucket.alias("bucket")).distinct().collect())  # at most as many as there are buckets
+        rows = line_rows(pages).withColumn("bucket", bucket)
         self.version += 1
-        rows.write.partitionBy("bucket").parquet(f"{self.path}/given/v{self.version}")
-        given = rows = self.spark.read.schema(TABLES["lines"]).parquet(f"{self.path}/given/v{self.version}")
-        touched = sorted(r.bucket for r in rows.select("bucket").distinct().collect())  # at most as many as there are buckets
         if any(b in self.heads["lines"] for b in touched):
             known = self.lines(touched).where("line_no = 0").select("source", "page_id")
-            rows = rows.join(known, ["source", "page_id"], "left_anti").select(*given.columns)
+            rows = rows.join(known, ["source", "page_id"], "left_anti").select(*rows.columns)
         before = self._read("repeated", touched).select("source", "line", "bucket")
         self._write("lines", rows)
         rows = self.spark.read.schema(TABLES["lines"]).parquet(f"{self.path}/lines/v{self.version}")
