@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from coursemill.functions import codepoints as cp
+from coursemill.operators.joins import guarded_join
 
 BATCH = 8
 
@@ -66,3 +74,51 @@ def leaked_later(rows: DataFrame, group: str, order: str, answer: str, question:
     right = rows.where(F.length(question) >= least).select(group, F.col(order).alias("_b"), F.col(question).alias("_question"), F.xxhash64(F.substring(question, 1, least)).alias("_key"))
     hits = left.join(right, [group, "_key"]).where((F.col("_a") < F.col("_b")) & F.contains(F.col("_answer"), F.col("_question")))
     return hits.select(group, F.col("_a").alias(order), F.col("_b").alias("later")).distinct()
+
+
+#: Width of the runs of characters by which fragments are looked for.
+RUN = 16
+
+
+def anchors(rows: DataFrame, key: str, text: str, span: int, first_only: bool) -> DataFrame:
+    """(key, anchor): hashes of some runs of RUN characters: of every span characters the run with the least hash.
+
+    With first_only only that of the first span characters.  A text that holds another one of at least span characters
+    has its first anchor among its own.
+    """
+    schema = StructType([StructField(key, rows.schema[key].dataType), StructField("anchor", LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in cp.row_slices(batch, "_text"):
+                points, offsets = cp.flatten(part.column(1))
+                start = np.arange(max(len(points) - RUN + 1, 0))
+                hashes = cp.RunHasher(points)(start, start + RUN)
+                at, found = [], []
+                for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+                    if b - a >= span:
+                        runs = hashes[a : b - RUN + 1]
+                        least = runs[: span - RUN + 1].min(keepdims=True) if first_only else np.unique(np.lib.stride_tricks.sliding_window_view(runs, span - RUN + 1).min(1))
+                        at.append(np.full(len(least), row))
+                        found.append(least)
+                take = np.concatenate(at) if at else np.zeros(0, np.int64)
+                values = np.concatenate(found) if found else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(take)), pa.array(values.view(np.int64))], names=[key, "anchor"])
+
+    return rows.where(F.col(text).isNotNull()).select(key, F.col(text).alias("_text")).mapInArrow(run, schema)
+
+
+def prune_fragments(rows: DataFrame, key: str, text: str, fragments: DataFrame, least: int = 50) -> DataFrame:
+    """The rows whose text holds a fragment, with all of these taken out, the longest first, and removed, their number.
+
+    fragments has fragment; those with fewer than least characters besides blanks are left out, and a text
+    that is nothing but the fragment keeps it.  Texts and fragments meet by common anchors, so no text is
+    compared with all fragments.  Null texts hold nothing.
+    """
+    known = fragments.where(F.length(F.regexp_replace("fragment", "[ \\t\\n\\r\\f]+", "")) >= least).select("fragment").distinct()
+    named = anchors(known.withColumn("_f", F.col("fragment")), "_f", "fragment", least, True).withColumnRenamed("_f", "fragment")
+    met = guarded_join(anchors(rows, key, text, least, False), named, ["anchor"]).select(key, "fragment").distinct()
+    held = rows.join(met, key).where(F.contains(F.col(text), F.col("fragment")) & (F.trim(text) != F.trim("fragment")))
+    listed = held.groupBy(key).agg(F.array_sort(F.collect_list(F.struct((-F.length("fragment")).alias("size"), "fragment"))).alias("_found"))
+    pruned = F.aggregate("_found", F.col(text), lambda t, x: F.replace(t, x["fragment"], F.lit("")))
+    return rows.join(listed, key).withColumn(text, pruned).withColumn("removed", F.size("_found")).drop("_found")

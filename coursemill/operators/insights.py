@@ -57,3 +57,42 @@ def prerequisites(order: DataFrame, concepts: DataFrame, limit: int = 3) -> Data
     before = order.select((F.col("position") + 1).alias("position"), F.col("chapter").alias("earlier"))
     pairs = order.join(before, "position").select("chapter", "earlier")
     return pairs.join(concepts.where(F.col("rank") <= limit).withColumnRenamed("chapter", "earlier"), "earlier").select("chapter", F.col("concept").alias("prerequisite"), "rank")
+
+
+#: Relations by which a concept comes before another, and by which it needs another; how many are named, and how sure they are.
+COMES_BEFORE = ("PREREQUISITE", "PREREQUISITE_OF", "PRECEDES", "FOUNDATION_OF")
+NEEDS = ("DEPENDS_ON", "REQUIRES")
+NAMED, SURE, ENOUGH = 5, 0.95, 3
+
+
+def prerequisites_by_edges(edges: DataFrame) -> DataFrame:
+    """(concept, prerequisite, confidence, rank): what the edges (source, type, target) name, at most NAMED a concept, by name."""
+    before, needs = F.col("type").isin(*COMES_BEFORE), F.col("type").isin(*NEEDS)
+    pairs = edges.where(before | needs).select(F.when(before, F.col("target")).otherwise(F.col("source")).alias("concept"), F.when(before, F.col("source")).otherwise(F.col("target")).alias("prerequisite")).distinct()
+    rank = F.row_number().over(Window.partitionBy("concept").orderBy("prerequisite"))
+    return pairs.select("concept", "prerequisite", F.lit(SURE).alias("confidence"), rank.cast("bigint").alias("rank")).where(F.col("rank") <= NAMED)
+
+
+def prerequisites_or_before(edges: DataFrame, fallback: DataFrame) -> DataFrame:
+    """(concept, prerequisite, confidence, rank): by edges, and for concepts without any the given ones of the chapter before."""
+    named = prerequisites_by_edges(edges)
+    return named.unionByName(fallback.select(*named.columns).join(named.select("concept").distinct(), "concept", "left_anti").select(*named.columns))
+
+
+def weakness_report(mistakes: DataFrame) -> DataFrame:
+    """(student_id, tag, total, sufficient, mistakes, sources, chapter, score, severity, priority): all areas of every student.
+
+    mistakes has student_id, request_id, source, chapter, tags.  chapter is the most frequent one of the
+    area's mistakes; of equally frequent ones the one with the last request counts.  Fewer than ENOUGH
+    mistakes of a student are not sufficient.
+    """
+    totals_of = mistakes.groupBy("student_id").agg(F.count("*").alias("total"))
+    rows = mistakes.select("student_id", "request_id", "source", "chapter", F.explode(F.array_distinct("tags")).alias("tag")).where("trim(tag) <> ''")
+    counted = rows.groupBy("student_id", "tag").agg(F.count("*").alias("mistakes"), F.countDistinct("source").alias("sources"))
+    modes = rows.groupBy("student_id", "tag", "chapter").agg(F.count("*").alias("k"), F.max("request_id").alias("latest"))
+    order = Window.partitionBy("student_id", "tag").orderBy(F.desc("k"), F.desc("latest"), "chapter")
+    modes = modes.withColumn("_r", F.row_number().over(order)).where("_r = 1").select("student_id", "tag", "chapter")
+    scored = counted.withColumn("score", score(F.col("mistakes"), F.col("sources"))).withColumn("severity", severity(F.col("score")))
+    place = F.row_number().over(Window.partitionBy("student_id").orderBy(F.desc("score"), "tag")).cast("bigint")
+    out = scored.join(modes, ["student_id", "tag"]).join(totals_of, "student_id")
+    return out.select("student_id", "tag", "total", (F.col("total") >= ENOUGH).alias("sufficient"), "mistakes", "sources", "chapter", "score", "severity", place.alias("priority"))
