@@ -45,3 +45,12 @@ def quantities(latex: Column) -> Column:
     plain = F.regexp_replace(F.coalesce(latex, F.lit("")), r"[{}]", "")
     found = F.array(*[F.when(F.contains(plain, F.lit(k)), F.lit(v)) for k, v in QUANTITIES.items()])
     return F.array_distinct(F.array_compact(found))
+
+#: Signs of formulas without blanks, braces and underscores, and the concepts they define.
+SIGNS = {"静态工作点": ("ibq", "icq", "ubeq", "uceq"), "电流放大": ("beta", "β"), "直流电源": ("vcc", "vbb"), "电阻": ("rb", "rc")}
+
+
+def concepts(text: Column) -> Column:
+    """The concepts whose signs stand in a formula."""
+    bare = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), r"[\\{}_ \t\n]", ""))
+    return F.array_compact(F.array(*[F.when(bare.rlike("|".join(signs)), F.lit(name)) for name, signs in SIGNS.items()]))

@@ -82,7 +82,10 @@ def history_text(spark: SparkSession, d: str) -> DataFrame:
     return sessions.history_text(t.message_log(spark, d))
 
 
-@query()
+@query(
+    r"""WITH m AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(text, '\[(?:资料)?([0-9]{1,3})\]', 1), lambda x: x::INTEGER), lambda x: x BETWEEN 1 AND 99) AS l FROM documents)
+    SELECT doc_id, array_to_string(list_filter(l, lambda x, i: list_position(l, x) = i), ',') AS cited FROM m"""
+)
 def citation_marks(spark: SparkSession, d: str) -> DataFrame:
     """The source numbers each document cites, in order."""
     return read_table(spark, d, "documents").select("doc_id", F.array_join(T.citations("text", 99), ",").alias("cited"))

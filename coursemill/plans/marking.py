@@ -11,7 +11,7 @@ from coursemill.plans import tables as t
 from coursemill.plans.registry import query
 from coursemill.session import read_table
 
-# Requests stand for submissions: every third answers a choice, every third a true or false question, the others fill in the answer of the bank.
+# Requests stand for submissions: every third answers a choice, every third a true or false question, the others fill in the answer of the bank, half of them in another form.
 
 _CLEAN = r"substring(regexp_replace(regexp_replace(coalesce({0}, ''), '[ \t]+', ' ', 'g'), '^[ \t\n\r\f]+|[ \t\n\r\f]+$', '', 'g'), 1, {1})"
 
@@ -24,7 +24,7 @@ def _compared(c: str) -> str:
 
 
 _FILL = rf"trim(regexp_replace({_CLEAN.format('standard', 1000)}, '^{M.BEFORE_ANSWER}[ \t]*[:：][ \t]*', ''))"
-_ASKED = f"""{t.REQUESTS}, asked AS (SELECT request_id, question_bank_id AS code, ['choice', 'true_false', 'fill_blank'][(request_id % 3 + 1)::INTEGER] AS kind, r.answer, e.standard_answer AS bank FROM r JOIN eval_items e ON e.question_code = r.question_bank_id),
+_ASKED = f"""{t.REQUESTS}, asked AS (SELECT request_id, question_bank_id AS code, ['choice', 'true_false', 'fill_blank'][(request_id % 3 + 1)::INTEGER] AS kind, CASE WHEN request_id % 6 = 2 THEN '$' || upper(e.standard_answer) || '$。' ELSE r.answer END AS answer, e.standard_answer AS bank FROM r JOIN eval_items e ON e.question_code = r.question_bank_id),
     given AS (SELECT request_id, kind, answer, CASE kind WHEN 'choice' THEN CASE WHEN request_id % 2 = 0 THEN '答案为 ' || chr((65 + request_id % 4)::INTEGER) || '、A' ELSE chr((65 + request_id % 5)::INTEGER) || ', B' END
         WHEN 'true_false' THEN CASE WHEN request_id % 2 = 0 THEN '标准答案：正确' WHEN request_id % 5 = 0 THEN '见解析' ELSE '错误。' END ELSE '答案：' || bank END AS standard,
         CASE kind WHEN 'choice' THEN [chr((97 + request_id % 4)::INTEGER), ' A'] WHEN 'true_false' THEN [CASE WHEN request_id % 7 < 4 THEN '正确' ELSE '错误' END] ELSE [] END AS selected FROM asked)"""
@@ -40,7 +40,8 @@ def _marked(spark: SparkSession, d: str) -> DataFrame:
     true_false = F.when(even, "标准答案：正确").when(F.col("request_id") % 5 == 0, "见解析").otherwise("错误。")
     standard = F.when(kind == "choice", choice).when(kind == "true_false", true_false).otherwise(F.concat(F.lit("答案："), "bank"))
     selected = F.when(kind == "choice", F.array(letter(97, 4), F.lit(" A"))).when(kind == "true_false", F.array(F.when(F.col("request_id") % 7 < 4, "正确").otherwise("错误"))).otherwise(F.array().cast("array<string>"))
-    return rows.select("request_id", kind.alias("kind"), "answer", standard.alias("standard"), selected.alias("selected"))
+    answer = F.when(F.col("request_id") % 6 == 2, F.concat(F.lit("$"), F.upper("bank"), F.lit("$。"))).otherwise(F.col("answer"))
+    return rows.select("request_id", kind.alias("kind"), answer.alias("answer"), standard.alias("standard"), selected.alias("selected"))
 
 
 @query(
