@@ -112,7 +112,8 @@ TABLES = {
     "totals": "source string, pages long, bucket int",
     "repeated": "source string, line long, pages long, bucket int",
 }
-BUCKETS = 16
+#: Buckets by source; a collection of thousands of sources on a large cluster takes more.
+BUCKETS = 4
 
 
 class SiteLines:
@@ -187,7 +188,9 @@ class SiteLines:
         now = guarded_join(self._read("counts", touched).where(F.col("pages") >= MIN_PAGES), of, ["source"]).where(F.col("pages") * ONE_IN >= F.col("of"))
         self._write("repeated", now.select("source", "line", "pages", "bucket"), touched)
         now = self._read("repeated", touched).select("source", "line", "bucket")
-        now.exceptAll(before).unionByName(before.exceptAll(now)).write.parquet(f"{self.path}/crossed/v{self.version}")
+        keys = ["source", "line"]  # one row each on either side
+        changed = now.join(before, keys, "left_anti").unionByName(before.join(now, keys, "left_anti"))
+        changed.select("source", "line", "bucket").write.parquet(f"{self.path}/crossed/v{self.version}")
 
     def found(self) -> DataFrame:
         """(page_id, line_no) of every repeated line."""
